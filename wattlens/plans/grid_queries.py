@@ -427,18 +427,20 @@ def f8(spark, d):
 @query(
     "f9_customer_components_from_ml",
     """SELECT meter_id, round(s, 6) AS supervised_probability, round(a, 6) AS anomaly_score,
-              CAST(round(CAST(100e0 * (0.40e0 * s + 0.25e0 * a + 0.20e0 * grid_imbalance_score + 0.10e0 * peer_score
-                + 0.05e0 * spatial_score) AS DECIMAL(18, 9)), 4) AS DOUBLE) AS risk_score,
+              round(100e0 * (0.40e0 * s + 0.25e0 * a + 0.20e0 * grid_imbalance_score + 0.10e0 * peer_score
+                + 0.05e0 * spatial_score), 4) AS risk_score,
               round(least(1e0, greatest(0e0, 0.5e0 + 0.45e0 * s - 0.3e0 * flatline)), 6) AS confidence
-       FROM (SELECT *, least(1e0, greatest(0e0, zero_fraction)) AS s,
-                    least(1e0, greatest(0e0, greatest(least(1e0, greatest(0e0, drop_ratio)), flatline)
+       FROM (SELECT *, 1e0 / (1e0 + exp(-trend)) AS s,
+                    least(1e0, greatest(0e0, greatest(1e0 - exp(-drop_ratio), flatline)
                       * CASE WHEN solar_potential_flag AND daylight_drop_index > 0.3e0 THEN 1e0 - 0.65e0 ELSE 1e0 END)) AS a
              FROM v_scored)""",
 )
 def f9(spark, d):
     # Stand-in model outputs taken from the features, so SQL can say the same.
-    df = Grid(spark, d).scoring_input
-    out = scoring.customer_components_from_ml(df, "zero_fraction", "drop_ratio")
+    df = Grid(spark, d).scoring_input.withColumns(
+        {"ml_probability": fn.sigmoid("trend"), "ml_anomaly": F.lit(1.0) - F.exp(-F.col("drop_ratio"))}
+    )
+    out = scoring.customer_components_from_ml(df)
     return out.select("meter_id", *rounded("supervised_probability", "anomaly_score"), "risk_score", *rounded("confidence"))
 
 
