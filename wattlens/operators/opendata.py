@@ -172,7 +172,9 @@ def assign_zipcodes(customers: DataFrame, weights: DataFrame, seed: int = 42) ->
     boundaries are sorted together and each point takes the next boundary at or
     above it; the cumulative sums come from range-partitioned totals, not one task.
     """
-    edges = cumulative(weights, [F.desc("weight"), F.col("zipcode").asc()], "weight", "edge").filter("weight > 0")
+    edges = positions(
+        weights, [F.desc("weight"), F.col("zipcode").asc()], running={"edge": "weight"}
+    ).filter("weight > 0")
     unit, _ = hash_unit(F.lit(str(seed)), F.col("id").cast("string"))
     total = weights.select(F.sum("weight").cast("double")).scalar()
     missing = customers.filter(F.col("zipcode").isNull()).select("id", F.floor(unit * total).alias("point"))
@@ -192,24 +194,6 @@ def assign_zipcodes(customers: DataFrame, weights: DataFrame, seed: int = 42) ->
     )
 
 
-def cumulative(df: DataFrame, order: list, value: str, out: str) -> DataFrame:
-    """Running total of ``value`` in ``order``: block totals first, then within blocks."""
-    block = 8192
-    numbered = positions(df, order, (), "_pos").withColumn("_block", F.floor(F.col("_pos") / block))
-    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    base = (
-        numbered.groupBy("_block")
-        .agg(F.sum(value).alias("_sum"))
-        .select("_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
-    )
-    inside = Window.partitionBy("_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        numbered.join(base, "_block")
-        .withColumn(out, F.col("_base") + F.sum(value).over(inside))
-        .drop("_pos", "_block", "_base")
-    )
-
-
 def expand_annual_profile(segments: DataFrame, hours: int = PROFILE_HOURS, end: datetime = PROFILE_END, noise: float = 0.04) -> DataFrame:
     """Hourly rows from annual use: daily and seasonal shape, hashed noise, rescaled to the target total.
 

@@ -16,14 +16,22 @@ from wattlens.session import materialize
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
 
-def positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), out: str = "pos") -> DataFrame:
+def positions(
+    df: DataFrame,
+    order: Sequence[Column],
+    keys: Sequence[str] = (),
+    out: str = "pos",
+    running: dict[str, str] | None = None,
+) -> DataFrame:
     """Add the 0-based position of each row within its (non-null) keys.
 
     ``order`` must end in a unique column. Rows are range-partitioned by key and
     order, written out once so that a row's partition can no longer change, and
     shifted by the row counts of the earlier partitions: a hot key is spread over
-    as many tasks as it needs.
+    as many tasks as it needs. ``running`` adds inclusive running totals, as
+    {new column: summed column}, put together from partition totals the same way.
     """
+    running = running or {}
     cols = [F.col(k) for k in keys]
     frozen = materialize(
         df.repartitionByRange(*cols, *order)
@@ -34,16 +42,23 @@ def positions(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (),
     earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         frozen.groupBy(*keys, "_pid")
-        .agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        .agg(
+            F.min("_mid").alias("_first"),
+            F.count(F.lit(1)).alias("_rows"),
+            *[F.sum(value).alias(f"_t_{name}") for name, value in running.items()],
+        )
         .withColumn("_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .drop("_rows")
+        .withColumns({f"_b_{name}": F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)) for name in running})
+        .drop("_rows", *[f"_t_{name}" for name in running])
     )
     if not keys:
         starts = F.broadcast(starts)  # one row per range partition, whatever the data size
-    return (
-        frozen.join(starts, [*keys, "_pid"])
-        .withColumn(out, F.col("_mid") - F.col("_first") + F.col("_shift"))
-        .drop("_mid", "_pid", "_first", "_shift")
+    joined = frozen.join(starts, [*keys, "_pid"])
+    inside = Window.partitionBy(*keys, "_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    for name, value in running.items():
+        joined = joined.withColumn(name, F.col(f"_b_{name}") + F.sum(value).over(inside)).drop(f"_b_{name}")
+    return joined.withColumn(out, F.col("_mid") - F.col("_first") + F.col("_shift")).drop(
+        "_mid", "_pid", "_first", "_shift"
     )
 
 
