@@ -23,18 +23,34 @@ def pad_sequence(values, length: int = S.SEQUENCE_LENGTH) -> tuple[Column, Colum
     return F.concat(tail, pad), mask
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``.
+
+    A column used inside a lambda is evaluated again for every element; binding it to
+    a lambda variable of its own keeps such expressions linear in the array length.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
 def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return _sum(F.zip_with(a, b, lambda x, y: x * y))
 
 
 def instance_normalize(values, mask) -> Column:
     """Masked population z-score; a sequence without valid positions is returned as is."""
     v, m = _c(values), _c(mask)
-    n = F.aggregate(m, F.lit(0.0), lambda s, x: s + x)
-    mean = _dot(v, m) / n
-    centred = F.transform(v, lambda x: x - mean)
-    var = F.aggregate(F.zip_with(centred, m, lambda x, y: x * x * y), F.lit(0.0), lambda s, x: s + x) / n
-    return F.when(n < 1.0, v).otherwise(F.transform(centred, lambda x: x / (F.sqrt(var) + F.lit(S.SEQUENCE_EPS))))
+
+    def scaled(mean: Column, n: Column) -> Column:
+        var = _sum(F.zip_with(v, m, lambda x, y: (x - mean) * (x - mean) * y)) / n
+        return let(F.sqrt(var) + F.lit(S.SEQUENCE_EPS), lambda std: F.transform(v, lambda x: (x - mean) / std))
+
+    return let(
+        _sum(m), lambda n: F.when(n < 1.0, v).otherwise(let(_dot(v, m) / n, lambda mean: scaled(mean, n)))
+    )
 
 
 def squared_errors(values, reconstruction) -> Column:
@@ -43,8 +59,7 @@ def squared_errors(values, reconstruction) -> Column:
 
 def masked_mse(values, reconstruction, mask) -> Column:
     m = _c(mask)
-    n = F.aggregate(m, F.lit(0.0), lambda s, x: s + x)
-    return _dot(squared_errors(values, reconstruction), m) / F.greatest(n, F.lit(1.0))
+    return _dot(squared_errors(values, reconstruction), m) / F.greatest(_sum(m), F.lit(1.0))
 
 
 def mse_to_anomaly(mse, mean, std) -> Column:
@@ -54,11 +69,17 @@ def mse_to_anomaly(mse, mean, std) -> Column:
 
 
 def peak_errors(timestamps, errors, mask, k: int = S.PEAK_COUNT) -> Column:
-    """The ``k`` largest errors at valid positions, earliest first among equals."""
+    """The ``k`` largest errors at valid positions, earliest first among equals.
+
+    Errors are ranked to ten places: two values around one mean have equal errors,
+    and rounding noise must not decide between them.
+    """
     rows = F.zip_with(
         F.arrays_zip(_c(errors).alias("error"), _c(mask).alias("valid")),
         F.sequence(F.lit(0), F.size(_c(errors)) - 1),
-        lambda e, i: F.struct((-e["error"]).alias("negated"), i.alias("position"), e["valid"].alias("valid")),
+        lambda e, i: F.struct(
+            (-F.round(e["error"], 10)).alias("rank"), i.alias("position"), e["error"].alias("error"), e["valid"].alias("valid")
+        ),
     )
     top = F.slice(F.array_sort(F.filter(rows, lambda r: r["valid"] > 0.5)), 1, k)
     ts = _c(timestamps)
@@ -66,7 +87,7 @@ def peak_errors(timestamps, errors, mask, k: int = S.PEAK_COUNT) -> Column:
         top,
         lambda r: F.struct(
             F.coalesce(F.get(ts, r["position"]).cast("string"), F.lit("unknown")).alias("timestamp"),
-            (-r["negated"]).alias("error"),
+            r["error"].alias("error"),
         ),
     )
 
@@ -77,7 +98,7 @@ def peak_explanations(peaks) -> Column:
     top = F.array_max(F.transform(p, lambda r: r["error"]))
     divisor = F.when(top > S.SEQUENCE_EPS, top).otherwise(F.lit(1.0))
 
-    def entry(r: Column) -> Column:
+    def entry(r: Column, divisor: Column) -> Column:
         share = F.round(r["error"] / divisor, 4)
         return F.struct(
             F.lit(PEAK_FEATURE).alias("feature"),
@@ -89,7 +110,7 @@ def peak_explanations(peaks) -> Column:
             ).alias("detail"),
         )
 
-    return F.transform(p, entry)
+    return let(divisor, lambda d: F.transform(p, lambda r: entry(r, d)))
 
 
 def top_entries(entries, key, n: int) -> Column:

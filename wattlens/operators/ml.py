@@ -12,7 +12,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattlens import schema as S
@@ -133,18 +133,16 @@ def fit_isolation_forest(matrix: DataFrame, key: str = "meter_id", trees: int =
     whatever the table size, of which the smallest hashes are taken. Trees grow in
     parallel; what returns to the driver is at most ``trees * 2 * sample`` nodes.
     """
-    n = matrix.select(F.count(F.lit(1))).scalar()
+    n = matrix.count()
+    size = min(sample, n)
 
     def draw(t: Column) -> Column:
         return F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
-    wanted = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) * n < 2.0 * sample)
+    wanted = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) * F.lit(float(n)) < F.lit(2.0 * sample))
     drawn = matrix.withColumn("tree", F.explode(wanted)).withColumn("draw", draw(F.col("tree")))
-    from pyspark.sql import Window
-
     order = Window.partitionBy("tree").orderBy("draw", key)
     chosen = drawn.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= sample)
-    size = min(sample, matrix.count())
     grown = chosen.select("tree", "draw", *COLUMNS).groupBy("tree").applyInPandas(
         lambda pdf: _grow(pdf, COLUMNS, size, seed),
         "tree int, node int, feature int, cut double, left int, right int, path double",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattlens import schema as S
-from wattlens.functions import instance_normalize, masked_mse, mse_to_anomaly, pad_sequence, peak_errors, squared_errors
+from wattlens.functions import instance_normalize, let, masked_mse, mse_to_anomaly, pad_sequence, peak_errors, squared_errors
 from wattlens.operators.olap import trailing_sequence
 from wattlens.session import materialize
 
@@ -32,15 +32,20 @@ def hourly_profile(x: Column, timestamps: Column) -> Column:
 
     Built inside the row from 24 hourly means; positions past the end come back as 0.
     """
-    valid = F.arrays_zip(F.slice(x, 1, F.size(timestamps)).alias("x"), F.transform(timestamps, F.hour).alias("h"))
-
-    def mean_at(h: Column) -> Column:
-        same = F.filter(valid, lambda r: r["h"] == h)
-        return F.aggregate(same, F.lit(0.0), lambda s, r: s + r["x"]) / F.greatest(F.size(same), F.lit(1))
-
-    means = F.transform(F.sequence(F.lit(0), F.lit(23)), mean_at)
-    body = F.transform(timestamps, lambda t: F.get(means, F.hour(t)))
-    return F.concat(body, F.array_repeat(F.lit(0.0), F.size(x) - F.size(timestamps)))
+    n = F.size(timestamps)
+    hours = F.transform(timestamps, F.hour)
+    valid = F.arrays_zip(F.slice(x, 1, n).alias("x"), hours.alias("h"))
+
+    def mean_at(rows: Column, h: Column) -> Column:
+        same = F.filter(rows, lambda r: r["h"] == h)
+        total = F.aggregate(same, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, r: F.struct(
+            (a["s"] + r["x"]).alias("s"), (a["n"] + 1).alias("n")
+        ))
+        return let(total, lambda t: t["s"] / F.greatest(t["n"], F.lit(1)))
+
+    means = let(valid, lambda rows: F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: mean_at(rows, h)))
+    body = let(means, lambda m: F.transform(timestamps, lambda t: F.get(m, F.hour(t))))
+    return F.concat(body, F.array_repeat(F.lit(0.0), F.size(x) - n))
 
 
 def reconstruct(sequences: DataFrame, model: Reconstructor | None = None) -> DataFrame:

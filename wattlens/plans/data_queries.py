@@ -112,21 +112,17 @@ _CONTEXT = """SELECT event_id, event_type, CAST(regexp_extract(props, '"k": ([0-
 
 @query("s6_read_json_context", f"SELECT k, count(*) AS n FROM ({_CONTEXT}) GROUP BY 1")
 def s6(spark, d):
+    """One list per file, 1000 objects each, with items and files the reader must drop."""
     path = work_path(spark, "context")
-    Grid(spark, d).table("events").select(F.col("props").alias("value")).groupBy(F.crc32("value") % 64).agg(
-        F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit(', 7, "x"]')).alias("value")
-    ).select("value").write.option("lineSep", " ").option("compression", "none").text(path)
-    context = _one_document_per_file(spark, path, d)
+    block = F.floor(F.col("event_id") / 1000).alias("block")
+    listed = F.concat(F.lit("["), F.array_join(F.collect_list("props"), ","), F.lit(', 7, "x"]'))
+    docs = Grid(spark, d).table("events").groupBy(block).agg(listed.alias("value"))
+    broken = docs.select((-1 - F.col("block")).alias("block"), F.lit("{broken").alias("value"))
+    docs.unionByName(broken).repartition("block").write.partitionBy("block").text(path)
+    context = files.read_json_context(spark, path, "*.txt")
     return context.groupBy(F.col("fields")["k"].cast("bigint").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _one_document_per_file(spark, path, d):
-    return files.read_json_context(spark, path, "*.txt")
-
-
-_SLICE_TIME = "strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z'"
-
-
 @query(
     "s7_read_utilization_payload",
     """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS timestamp, sum(CAST(round(value * 100) AS BIGINT)) * 1e0 AS kwh
@@ -607,7 +603,8 @@ _PROFILE = f"""WITH raw AS (
 @query(
     "y7_expand_annual_profile",
     _PROFILE
-    + f""", scaled AS (SELECT segment_key, idx, hour(ts) AS hour, kwh * ((b * {_SPLIT} + l * {_HOURS - _SPLIT}) / 8760) / sum(kwh) OVER (PARTITION BY segment_key) AS kwh FROM raw)
+    + f""", scaled AS (SELECT segment_key, idx, hour(ts) AS hour,
+              round(kwh * ((b * {_SPLIT} + l * {_HOURS - _SPLIT}) / 8760 / sum(kwh) OVER (PARTITION BY segment_key)), 6) AS kwh FROM raw)
        SELECT segment_key, hour, count(*) AS n, round(sum(kwh), 3) AS kwh, round(max(kwh), 4) AS peak FROM scaled GROUP BY 1, 2""",
 )
 def y7(spark, d):

@@ -10,12 +10,16 @@ from wattlens.functions import safe_div
 from wattlens.session import work_path
 
 
-def file_stream(spark: SparkSession, path: str, schema=None, files_per_trigger: int | None = None) -> DataFrame:
-    """A stream over Parquet files as they arrive."""
-    reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
+def file_stream(
+    spark: SparkSession, folder: str, glob: str = "*.parquet", schema=None, files_per_trigger: int | None = None
+) -> DataFrame:
+    """A stream over the Parquet files of a folder as they arrive."""
+    if schema is None:
+        schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    return reader.parquet(folder)
 
 
 def upsert_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
