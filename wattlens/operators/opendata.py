@@ -202,32 +202,27 @@ def expand_annual_profile(segments: DataFrame, hours: int = PROFILE_HOURS, end:
     """
     recent_hours = max(int(hours * 0.25), S.RECENT_HOURS)
     split = hours - recent_hours
-    first_second = F.unix_timestamp(F.lit(end).cast("timestamp")) - F.lit(3600 * (hours - 1))
-
-    def at(idx):
-        return F.timestamp_seconds(first_second + idx * 3600)
-
-    def raw(idx):
-        hour = F.hour(at(idx))
-        diurnal = F.when((hour < 7) | (hour > 22), 0.45).when(hour.between(17, 21), 1.1).otherwise(0.85)
-        seasonal = F.lit(1.0) + F.lit(0.15) * F.sin(F.lit(2.0) * F.pi() * (F.dayofyear(at(idx)) / F.lit(365.0)))
-        annual = F.when(idx < split, F.col("sja_baseline")).otherwise(F.col("sja_latest"))
-        u, v = hash_unit("segment_key", idx.cast("string"))
-        jitter = F.lit(1.0) + F.lit(noise) * (u + v - 1.0) * F.sqrt(F.lit(6.0))
-        return F.greatest(annual / S.HOURS_PER_YEAR * seasonal * diurnal * jitter, F.lit(0.0))
-
-    # The whole profile of a segment is one array, so rescaling needs no shuffle.
-    profile = F.transform(F.sequence(F.lit(0), F.lit(hours - 1)), raw)
-    target = (F.col("sja_baseline") * split + F.col("sja_latest") * recent_hours) / S.HOURS_PER_YEAR
-    total = F.aggregate("profile", F.lit(0.0), lambda s, x: s + x)
-    return (
-        segments.select("segment_key", "sja_baseline", "sja_latest", profile.alias("profile"))
-        .withColumn("scale", F.when((total > 0) & (target > 0), target / total).otherwise(F.lit(1.0)))
-        .select("segment_key", "scale", F.posexplode("profile").alias("idx", "kwh"))
-        .select(
-            "segment_key",
-            at(F.col("idx")).alias("timestamp"),
-            "idx",
-            F.round(F.col("kwh") * F.col("scale"), 6).alias("consumption_kwh"),
-        )
+    last = F.unix_timestamp(F.lit(end).cast("timestamp"))
+    # A segment is a few bytes that become many rows, so segments are spread by count,
+    # not by size. Their rows then stay where they are: the rescaling window is over
+    # the same key and needs no further shuffle.
+    tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = (
+        segments.select("segment_key", F.col("sja_baseline").alias("b"), F.col("sja_latest").alias("l"))
+        .repartition(tasks, "segment_key")
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(hours - 1))).alias("idx"))
+        .withColumn("timestamp", F.timestamp_seconds(last - (F.lit(hours - 1) - F.col("idx")) * 3600))
+    )
+    hour = F.hour("timestamp")
+    diurnal = F.when((hour < 7) | (hour > 22), 0.45).when(hour.between(17, 21), 1.1).otherwise(0.85)
+    seasonal = F.lit(1.0) + F.lit(0.15) * F.sin(F.lit(2.0) * F.pi() * (F.dayofyear("timestamp") / F.lit(365.0)))
+    annual = F.when(F.col("idx") < split, F.col("b")).otherwise(F.col("l"))
+    u, v = hash_unit("segment_key", F.col("idx").cast("string"))
+    jitter = F.lit(1.0) + F.lit(noise) * (u + v - 1.0) * F.sqrt(F.lit(6.0))
+    raw = slots.withColumn("kwh", F.greatest(annual / S.HOURS_PER_YEAR * seasonal * diurnal * jitter, F.lit(0.0)))
+    total = F.sum("kwh").over(Window.partitionBy("segment_key"))
+    target = (F.col("b") * split + F.col("l") * recent_hours) / S.HOURS_PER_YEAR
+    scale = F.when((F.col("total") > 0) & (target > 0), target / F.col("total")).otherwise(F.lit(1.0))
+    return raw.withColumn("total", total).select(
+        "segment_key", "timestamp", "idx", F.round(F.col("kwh") * scale, 6).alias("consumption_kwh")
     )

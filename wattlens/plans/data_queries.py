@@ -605,12 +605,14 @@ _PROFILE = f"""WITH raw AS (
     _PROFILE
     + f""", scaled AS (SELECT segment_key, idx, hour(ts) AS hour,
               round(kwh * ((b * {_SPLIT} + l * {_HOURS - _SPLIT}) / 8760 / sum(kwh) OVER (PARTITION BY segment_key)), 6) AS kwh FROM raw)
-       SELECT segment_key, hour, count(*) AS n, round(sum(kwh), 3) AS kwh, round(max(kwh), 4) AS peak FROM scaled GROUP BY 1, 2""",
+       SELECT segment_key, hour, count(*) AS n, CAST(sum(CAST(round(kwh * 1e6) AS BIGINT)) AS BIGINT) AS micro_kwh, max(kwh) AS peak FROM scaled GROUP BY 1, 2""",
 )
 def y7(spark, d):
     rows = od.expand_annual_profile(Grid(spark, d).segments)
     return rows.groupBy("segment_key", F.hour("timestamp").alias("hour")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("consumption_kwh"), 3).alias("kwh"), F.round(F.max("consumption_kwh"), 4).alias("peak")
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.round(F.col("consumption_kwh") * 1e6).cast("bigint")).alias("micro_kwh"),
+        F.max("consumption_kwh").alias("peak"),
     )
 
 

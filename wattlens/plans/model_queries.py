@@ -97,10 +97,22 @@ def a27(spark, d):
     return z.select("meter_id", *[F.round(c, 5).alias(c) for c in S.MODEL_COLUMNS])
 
 
+_TRAINED: dict[tuple[str, str], tuple] = {}
+
+
+def trained(spark, d):
+    """(matrix, model) of a folder; trained once per application, then reused."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TRAINED:
+        m = _stored_matrix(spark, d)
+        _TRAINED[key] = (m, ml.fit_classifier(m))
+    return _TRAINED[key]
+
+
 @query("m3_ntl_classifier")
 def m3(spark, d):
-    m = _stored_matrix(spark, d)
-    return ml.predict_probability(ml.fit_classifier(m), m).select("meter_id", "label", "ml_probability")
+    m, model = trained(spark, d)
+    return ml.predict_probability(model, m).select("meter_id", "label", "ml_probability")
 
 
 @query("m4_isolation_forest")
@@ -111,20 +123,20 @@ def m4(spark, d):
 
 @query("m5_importance_contributions")
 def m5(spark, d):
-    m = _stored_matrix(spark, d)
-    return ml.contributions(m, ml.importances(ml.fit_classifier(m)))
+    m, model = trained(spark, d)
+    return ml.contributions(m, ml.importances(model))
 
 
 @query("m6_global_importances")
 def m6(spark, d):
-    m = _stored_matrix(spark, d)
-    return ml.global_importances(ml.contributions(m, ml.importances(ml.fit_classifier(m))))
+    m, model = trained(spark, d)
+    return ml.global_importances(ml.contributions(m, ml.importances(model)))
 
 
 @query("l6_top_abs_contributions")
 def l6(spark, d):
-    m = _stored_matrix(spark, d)
-    made = ml.model_explanations(ml.contributions(m, ml.importances(ml.fit_classifier(m))), m)
+    m, model = trained(spark, d)
+    made = ml.model_explanations(ml.contributions(m, ml.importances(model)), m)
     return made.select("meter_id", F.explode("explanations").alias("e")).select("meter_id", "e.*")
 
 
@@ -148,16 +160,14 @@ def m7(spark, d):
 
 @query("m8_predict_frame")
 def m8(spark, d):
-    features = materialize(Grid(spark, d).features, "snapshots")
-    m = ml.feature_matrix(features)
-    out = ml.predict_frame(ml.fit_classifier(m), ml.fit_isolation_forest(m), features)
+    m, model = trained(spark, d)
+    out = ml.predict_frame(model, ml.fit_isolation_forest(m), Grid(spark, d).features)
     return out.select("meter_id", *rounded("supervised_probability", "anomaly_score"), "risk_score", "risk_tier")
 
 
 @query("s16_save_load_model")
 def s16(spark, d):
-    m = _stored_matrix(spark, d)
-    model = ml.fit_classifier(m)
+    m, model = trained(spark, d)
     base = work_path(spark, "models")
     tables.save_model(model, ml.predict_probability(model, m), {"rounds": 200.0}, base, "ntl-v1")
     loaded, metadata, stored = tables.load_model(spark, base, "ntl-v1")
