@@ -51,10 +51,12 @@ def test_framed_only_wanted_rows(spark):
     rows = hot_rows(600)
     df = spark.createDataFrame(rows, "k string, id long, v double").withColumn("want", F.col("id") % 97 == 0)
     build = {"s": lambda w: F.sum("v").over(w)}
-    some = framed(df, ["k"], [F.col("id").asc()], 6, build, only=F.col("want"), block=16)
     full = {r.id: r.s for r in framed(df, ["k"], [F.col("id").asc()], 6, build, block=16).collect()}
-    got = {r.id: r.s for r in some.collect()}
-    assert got == {i: full[i] for i in range(0, 600, 97)}
+    for coarse in (None, "id", "slot"):
+        order = [F.col("slot").asc(), F.col("id").asc()] if coarse == "slot" else [F.col("id").asc()]
+        slotted = df.withColumn("slot", F.floor(F.col("id") / 10))
+        some = framed(slotted, ["k"], order, 6, build, only=F.col("want"), coarse=coarse, block=16)
+        assert {r.id: r.s for r in some.collect()} == {i: full[i] for i in range(0, 600, 97)}
 
 
 def test_medians_with_ties_zeros_and_negatives(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattlens import schema as S
-from wattlens.operators.ranking import framed
+from wattlens.operators.ranking import framed, median_over
 
 ROLLING_ROWS = 336
 PEER_ROWS = 168
@@ -43,8 +43,9 @@ def peer_group_median(enriched: DataFrame, only: Column | None = None) -> DataFr
         _PEER_KEYS,
         [F.col("timestamp").asc(), F.col("meter_id").asc()],
         PEER_ROWS - 1,
-        {"peer_group_median_kwh": lambda w: F.percentile("consumption_kwh", 0.5).over(w)},
+        {"peer_group_median_kwh": lambda w: median_over("consumption_kwh", w)},
         only=only,
+        coarse="timestamp",
     )
 
 
@@ -64,8 +65,8 @@ def customer_window_features(readings: DataFrame, customers: DataFrame) -> DataF
     """Rolling mean, peer median and daylight drop of every meter's latest reading.
 
     Only the latest row of a meter is reported. The rolling mean is a pass over the
-    meter's last 336 rows, and the peer median is evaluated only in blocks that
-    hold a latest row.
+    meter's last 336 rows; for the peer median, rows that no latest row's frame
+    reaches are dropped before the sort, so history is counted but not sorted.
     """
     slim = readings.select("meter_id", "timestamp", "consumption_kwh")
     newest = Window.partitionBy("meter_id").orderBy(F.desc("timestamp"))

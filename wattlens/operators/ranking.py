@@ -62,6 +62,26 @@ def positions(
     )
 
 
+def _reachable(df: DataFrame, keys: Sequence[str], coarse: str, only: Column, preceding: int) -> DataFrame:
+    """Rows that can lie in the frame of a wanted row.
+
+    Works on counts per (key, ``coarse``): a slot is kept if it ends less than
+    ``preceding`` rows before the next slot that holds a wanted row.
+    """
+    by_time = Window.partitionBy(*keys).orderBy(coarse)
+    upto = by_time.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = by_time.rowsBetween(0, Window.unboundedFollowing)
+    needed = (
+        df.groupBy(*keys, coarse)
+        .agg(F.count(F.lit(1)).alias("_n"), F.bool_or(only).alias("_want"))
+        .withColumn("_end", F.sum("_n").over(upto))
+        .withColumn("_next", F.min(F.when(F.col("_want"), F.col("_end") - F.col("_n"))).over(ahead))
+        .filter(F.col("_next") - preceding < F.col("_end"))
+        .select(*keys, coarse)
+    )
+    return df.join(needed, [*keys, coarse], "left_semi")
+
+
 def framed(
     df: DataFrame,
     keys: Sequence[str],
@@ -69,16 +89,22 @@ def framed(
     preceding: int,
     columns: dict[str, Callable[[Window], Column]],
     only: Column | None = None,
+    coarse: str | None = None,
     block: int = 4096,
 ) -> DataFrame:
     """``ROWS preceding .. CURRENT`` windows over keys that may be hot.
 
     Rows are numbered, cut into blocks, and the last ``preceding`` rows of a block
     are copied into the next one, so each window group holds at most
-    ``block + preceding`` rows. With ``only``, blocks without a wanted row are
-    dropped before any window is computed and only wanted rows are returned.
+    ``block + preceding`` rows.
+
+    With ``only``, just the wanted rows are returned. If ``coarse`` then names the
+    leading order column, rows outside every wanted frame are dropped before
+    anything is sorted; blocks without a wanted row are dropped in any case.
     """
     block = max(block, preceding + 1)
+    if only is not None and coarse is not None:
+        df = _reachable(df, keys, coarse, only, preceding)
     numbered = positions(df, order, keys, "_pos").withColumn("_block", F.floor(F.col("_pos") / block))
     tail = F.col("_pos") % block >= block - preceding
     spread = numbered.withColumn(
@@ -96,6 +122,14 @@ def framed(
     return spread.filter(kept).drop("_pos", "_block", "_in")
 
 
+def median_over(column: str, frame: Window) -> Column:
+    """Median of a short frame. Sorting the collected frame is several times faster than
+    the ``percentile`` aggregate, which rebuilds a hash map for every row."""
+    values = F.sort_array(F.collect_list(column).over(frame))
+    n = F.size(values)
+    return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
+
+
 def _log_bucket(v: Column) -> Column:
     """Order-preserving bucket: values within about 1.5 % of each other share one."""
     size = F.floor(F.log(F.abs(v)) * 64) + 100_000
