@@ -127,9 +127,9 @@ def test_json_context(spark, tmp_path):
 
 def test_geojson_is_ordered_and_empty_is_valid(spark):
     df = spark.createDataFrame([(1, 4.0, 52.0, 10.0), (2, 4.1, 52.1, 90.0), (3, None, 52.0, 99.0)], "id int, lon double, lat double, risk_score double")
-    doc = json.loads(files.geojson_document(files.geojson_features(df, ["risk_score"])).first().geojson)
+    doc = json.loads(files.geojson_document(files.geojson_features(df, ["risk_score"]), 10).first().geojson)
     assert [f["id"] for f in doc["features"]] == [2, 1]
-    empty = files.geojson_document(files.geojson_features(df.limit(0), ["risk_score"])).first().geojson
+    empty = files.geojson_document(files.geojson_features(df.limit(0), ["risk_score"]), 10).first().geojson
     assert json.loads(empty) == {"type": "FeatureCollection", "features": []}
 
 

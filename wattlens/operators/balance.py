@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattlens import schema as S
 from wattlens.functions import loss_value, unexplained_loss, unexplained_loss_ratio
 from wattlens.operators.filters import time_range
 from wattlens.operators.ranking import order_statistics
+from wattlens.session import materialize
 
 
 def readings_to_transformer(readings: DataFrame, customers: DataFrame) -> DataFrame:
@@ -191,9 +192,10 @@ def peer_comparison(readings: DataFrame, customers: DataFrame) -> DataFrame:
     """Each customer's daily use next to the median of the other members of its transformer.
 
     The median without oneself follows from three middle order statistics of the
-    group, so no pairs of peers are formed. Days without a peer get 0.
+    group, so no pairs of peers are formed. Days without a peer get 0. The daily sums
+    are written once, since the ranks and the result both read them.
     """
-    days = readings_to_transformer(daily_sums(readings), customers)
+    days = materialize(readings_to_transformer(daily_sums(readings), customers), "daily")
     keys = ["transformer_id", "day"]
     known = days.filter(F.col("transformer_id").isNotNull())
     # The rest of a group of n has m = n - 1 members; its middle is at (m-1)//2 and m//2.
@@ -223,8 +225,6 @@ def peer_comparison(readings: DataFrame, customers: DataFrame) -> DataFrame:
 
 def recent_annualized_from_daily(readings: DataFrame, days: int = 14) -> DataFrame:
     """Mean of a meter's last ``days`` daily sums, times 365."""
-    from pyspark.sql import Window
-
     last = Window.partitionBy("meter_id").orderBy(F.desc("day"))
     return (
         daily_sums(readings)

@@ -89,7 +89,9 @@ def base_features(readings: DataFrame, meters: DataFrame, as_of: int | None = No
     Rows are first folded per block of 24 index positions, then per meter; both
     folds combine on the map side, so a meter with very many rows is spread out.
     """
-    split = window_split(time_index(readings), as_of)
+    # The hour index needs a pass over the time column; it is tiny, so it is written once.
+    # Its true size is then known and Spark broadcasts it instead of shuffling readings.
+    split = window_split(materialize(time_index(readings), "hours"), as_of)
     x, part = F.col("consumption_kwh"), F.col("part")
     recent, baseline, night = part == "recent", part == "baseline", F.col("night")
 

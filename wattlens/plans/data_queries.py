@@ -9,7 +9,7 @@ from wattlens import schema as S
 from wattlens.operators import opendata as od
 from wattlens.operators import sequences as sq
 from wattlens.operators import lookups
-from wattlens.plans.grid_queries import day, stamp
+from wattlens.plans.grid_queries import day, long, stamp
 from wattlens.plans.registry import query
 from wattlens.plans.views import Grid
 from wattlens.session import work_path
@@ -609,7 +609,7 @@ _PROFILE = f"""WITH raw AS (
 )
 def y7(spark, d):
     rows = od.expand_annual_profile(Grid(spark, d).segments)
-    return rows.groupBy("segment_key", F.hour("timestamp").alias("hour")).agg(
+    return rows.groupBy("segment_key", F.hour("timestamp").cast("bigint").alias("hour")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.round(F.col("consumption_kwh") * 1e6).cast("bigint")).alias("micro_kwh"),
         F.max("consumption_kwh").alias("peak"),
@@ -648,14 +648,14 @@ _SEQ = """seq AS (SELECT meter_id, consumption_kwh AS v, timestamp, row_number()
 def y1(spark, d):
     seq = sq.prepared_sequences(Grid(spark, d).readings)
     pairs = F.posexplode(F.arrays_zip(F.col("padded").alias("value"), F.col("mask").alias("mask"))).alias("pos", "p")
-    return seq.select("meter_id", pairs).select("meter_id", "pos", "p.value", "p.mask")
+    return seq.select("meter_id", pairs).select("meter_id", long("pos"), "p.value", "p.mask")
 
 
 @query("y2_instance_normalize", f"WITH {_SEQ} SELECT meter_id, pos, round(x, 6) AS x FROM norm")
 def y2(spark, d):
     seq = sq.prepared_sequences(Grid(spark, d).readings)
     return seq.select("meter_id", "actual_len", F.posexplode("x").alias("pos", "x")).filter("pos < actual_len").select(
-        "meter_id", "pos", F.round("x", 6).alias("x")
+        "meter_id", long("pos"), F.round("x", 6).alias("x")
     )
 
 
@@ -677,7 +677,7 @@ def y4(spark, d):
 def l8(spark, d):
     errors = sq.reconstruction_errors(sq.prepared_sequences(Grid(spark, d).readings))
     return errors.select("meter_id", F.posexplode("peaks").alias("i", "p")).select(
-        "meter_id", (F.col("i") + 1).alias("rk"), F.col("p.timestamp").alias("timestamp"), F.round("p.error", 5).alias("error")
+        "meter_id", (F.col("i") + 1).cast("bigint").alias("rk"), F.col("p.timestamp").alias("timestamp"), F.round("p.error", 5).alias("error")
     )
 
 
@@ -689,7 +689,7 @@ def l8(spark, d):
 def y5(spark, d):
     errors = sq.reconstruction_errors(sq.prepared_sequences(Grid(spark, d).readings))
     return errors.select("meter_id", F.posexplode(fn.peak_explanations("peaks")).alias("i", "e")).select(
-        "meter_id", (F.col("i") + 1).alias("rk"), "e.contribution", "e.direction"
+        "meter_id", (F.col("i") + 1).cast("bigint").alias("rk"), "e.contribution", "e.direction"
     )
 
 
@@ -697,7 +697,7 @@ def y5(spark, d):
 def y6(spark, d):
     seq = sq.reconstruct(sq.prepared_sequences(Grid(spark, d).readings))
     return seq.select("meter_id", "actual_len", F.posexplode("recon").alias("pos", "r")).filter("pos < actual_len").select(
-        "meter_id", "pos", F.round("r", 6).alias("recon")
+        "meter_id", long("pos"), F.round("r", 6).alias("recon")
     )
 
 

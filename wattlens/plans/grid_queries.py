@@ -13,6 +13,10 @@ from wattlens.plans.views import Grid
 DAY = "strftime({}, '%Y-%m-%d')"
 
 
+def long(column: str) -> F.Column:
+    return F.col(column).cast("bigint").alias(column)
+
+
 def stamp(column: str) -> F.Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
 
@@ -216,7 +220,7 @@ def f28(spark, d):
 def j4(spark, d):
     g = Grid(spark, d)
     return olap.enrich_readings(g.readings, g.customers).select(
-        "meter_id", stamp("timestamp").alias("timestamp"), "consumption_kwh", "hour_of_day", "woningwaarde_category", "solar_potential_flag"
+        "meter_id", stamp("timestamp").alias("timestamp"), "consumption_kwh", long("hour_of_day"), "woningwaarde_category", "solar_potential_flag"
     )
 
 
@@ -299,19 +303,19 @@ def w6(spark, d):
 def a1(spark, d):
     index = features.time_index(Grid(spark, d).readings)
     last = index.select(F.max("idx")).scalar()
-    return index.select(stamp("timestamp").alias("timestamp"), "idx", "hour", (F.col("idx") == last).alias("is_as_of"))
+    return index.select(stamp("timestamp").alias("timestamp"), long("idx"), long("hour"), (F.col("idx") == last).alias("is_as_of"))
 
 
 @query("w7_window_split", "SELECT idx, part, h <= 5 AS night FROM v_windows")
 def w7(spark, d):
-    return features.window_split(features.time_index(Grid(spark, d).readings)).select("idx", "part", "night")
+    return features.window_split(features.time_index(Grid(spark, d).readings)).select(long("idx"), "part", "night")
 
 
 @query("a2_densify", "SELECT meter_id, idx, kwh AS consumption_kwh FROM v_grid")
 def a2(spark, d):
     g = Grid(spark, d)
     return features.densify(g.readings, g.meters, features.time_index(g.readings)).select(
-        "meter_id", "idx", "consumption_kwh"
+        "meter_id", long("idx"), "consumption_kwh"
     )
 
 

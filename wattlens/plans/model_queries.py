@@ -56,7 +56,7 @@ def w10(spark, d):
     "m9_evaluate",
     f"""WITH {_RANKED} SELECT round(sum(label * (tp / rk)) / max(positives), 4) AS pr_auc,
               round(sum(label) FILTER (rk <= 20) / 20, 4) AS precision_at_k, round(sum(label) FILTER (rk <= 20) / max(positives), 4) AS recall_at_k,
-              20 AS k, CAST(max(positives) AS BIGINT) AS positives, count(*) AS n,
+              CAST(20 AS BIGINT) AS k, CAST(max(positives) AS BIGINT) AS positives, count(*) AS n,
               round(avg(CASE WHEN (risk_score >= 50) = (label = 1) THEN 1e0 ELSE 0e0 END), 4) AS accuracy FROM ranked""",
 )
 def m9(spark, d):

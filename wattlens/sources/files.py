@@ -226,7 +226,7 @@ def geojson_features(points: DataFrame, properties: Sequence[str], key: str = "i
     )
 
 
-def geojson_document(features: DataFrame, limit: int = 10_000) -> DataFrame:
+def geojson_document(features: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` highest-scored features as one FeatureCollection text, for a map view.
 
     Whole layers are written as rows of ``geojson_features``; a single document is
