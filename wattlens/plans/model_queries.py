@@ -140,20 +140,20 @@ def l6(spark, d):
     return made.select("meter_id", F.explode("explanations").alias("e")).select("meter_id", "e.*")
 
 
-_TRAIN_AS_OF = 551
+_TRAIN_AS_OF, _TEST_AS_OF = 551, 719  # 46/60 and all of 720 hours
 
 
 @query(
     "m7_customer_time_split",
     f"""WITH b AS (SELECT id, CAST('0x' || substr(sha256(external_ref), 1, 8) AS BIGINT) / 4294967295e0 < 0.3e0 AS is_test FROM v_meters),
-        w AS (SELECT g.*, b.is_test, CASE WHEN b.is_test THEN n ELSE least(n, {_TRAIN_AS_OF + 1}) END AS stop FROM v_grid g JOIN b ON b.id = g.meter_id)
+        w AS (SELECT g.*, b.is_test, CASE WHEN b.is_test THEN {_TEST_AS_OF + 1} ELSE {_TRAIN_AS_OF + 1} END AS stop FROM v_grid g JOIN b ON b.id = g.meter_id)
         SELECT meter_id, CASE WHEN is_test THEN 'test' ELSE 'train' END AS part, round(avg(kwh), 6) AS mean_kwh,
                round(avg(kwh) FILTER (idx >= stop - 336), 6) AS recent_mean_kwh
         FROM w WHERE idx < stop GROUP BY meter_id, is_test""",
 )
 def m7(spark, d):
     g = Grid(spark, d)
-    train, test = ml.customer_time_split(g.readings, g.meters, g.energy, g.technical, _TRAIN_AS_OF, 719)
+    train, test = ml.customer_time_split(g.readings, g.meters, g.energy, g.technical, _TRAIN_AS_OF, _TEST_AS_OF)
     columns = ["meter_id", "mean_kwh", "recent_mean_kwh"]
     return train.select(*columns, F.lit("train").alias("part")).unionByName(test.select(*columns, F.lit("test").alias("part")))
 
