@@ -50,10 +50,14 @@ def peer_group_median(enriched: DataFrame, only: Column | None = None) -> DataFr
 
 
 def latest_per_meter(df: DataFrame) -> DataFrame:
-    """The newest row of each meter, as one combining aggregate."""
-    others = [c for c in df.columns if c != "meter_id"]
-    newest = F.max_by(F.struct(*others), F.col("timestamp"))
-    return df.groupBy("meter_id").agg(newest.alias("_row")).select("meter_id", "_row.*")
+    """The newest row of each meter. (meter, timestamp) is unique, so taking the columns
+    one by one still takes them from one row, and plain numbers stay in a hash aggregate."""
+    others = [c for c in df.columns if c not in ("meter_id", "timestamp")]
+    return (
+        df.groupBy("meter_id")
+        .agg(F.max("timestamp").alias("timestamp"), *[F.max_by(c, "timestamp").alias(c) for c in others])
+        .select(*df.columns)
+    )
 
 
 def daylight_drop_index(kwh="consumption_kwh", median="peer_group_median_kwh", hour="hour_of_day") -> Column:

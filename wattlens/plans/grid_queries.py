@@ -9,6 +9,7 @@ from wattlens import schema as S
 from wattlens.operators import balance, features, olap, scoring
 from wattlens.plans.registry import query
 from wattlens.plans.views import Grid
+from wattlens.session import materialize
 
 DAY = "strftime({}, '%Y-%m-%d')"
 
@@ -556,3 +557,29 @@ def f7(spark, d):
     return _base(spark, d).select(
         "meter_id", F.round(fn.clamp01("trend"), 6).alias("clamped"), F.round(fn.sigmoid("trend"), 6).alias("squashed")
     )
+
+
+@query(
+    "e2_score_entities",
+    f"""SELECT 'customer' AS entity_type, meter_id AS entity_id, risk_score, risk_tier,
+               round(greatest(0e0, share * tx_loss), 3) AS estimated_loss_kwh,
+               round(supervised_probability * (greatest(0e0, share * tx_loss) * 0.25e0) * confidence - 75e0, 3) AS inspection_priority
+        FROM ({_SHARES})
+        UNION ALL
+        SELECT 'transformer', transformer_id, risk_score, risk_tier, round(greatest(0e0, unexplained_total_kwh), 3),
+               round(supervised_probability * (greatest(0e0, unexplained_total_kwh) * 0.25e0) * confidence - 75e0, 3)
+        FROM v_tx_scored""",
+)
+def e2(spark, d):
+    """Snapshots to published score rows in one go."""
+    g = Grid(spark, d)
+    stations = materialize(g.transformer_features, "transformers")
+    out = scoring.score_entities(g.scoring_input, stations, F.current_timestamp())
+    return out.select(
+        "entity_type",
+        "entity_id",
+        "risk_score",
+        "risk_tier",
+        F.round("estimated_loss_kwh", 3).alias("estimated_loss_kwh"),
+        F.round("inspection_priority", 3).alias("inspection_priority"),
+    )
