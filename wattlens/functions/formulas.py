@@ -78,7 +78,8 @@ def risk_score(components: Mapping[str, Column | str] | None = None, strict: boo
             value = F.when(value.between(0.0, 1.0), value).otherwise(F.raise_error(message).cast("double"))
         term = F.lit(weight) * value
         total = term if total is None else total + term
-    return F.round(F.lit(100.0) * total, 4)
+    # By way of nine places: floating-point noise in the sum must not decide a tie.
+    return F.round(F.round(F.lit(100.0) * total, 9), 4)
 
 
 def risk_tier(score, contiguous: bool = False) -> Column:

@@ -25,9 +25,9 @@ FUNCTIONS = {
     "risk_score": (
         "p DOUBLE, a DOUBLE, g DOUBLE, n DOUBLE, s DOUBLE",
         "DOUBLE",
-        "round(100D * ("
+        "round(round(100D * ("
         f"{_W['supervised_probability']}D * p + {_W['anomaly_score']}D * a + {_W['grid_imbalance_score']}D * g"
-        f" + {_W['peer_score']}D * n + {_W['spatial_score']}D * s), 4)",
+        f" + {_W['peer_score']}D * n + {_W['spatial_score']}D * s), 9), 4)",
     ),
     "risk_tier": ("s DOUBLE", "STRING", _tier_case()),
     "loss_value": ("kwh DOUBLE", "DOUBLE", f"kwh * {S.PRICE_EUR_PER_KWH}D"),

@@ -197,7 +197,7 @@ def attach_peers(base: DataFrame, members: DataFrame) -> DataFrame:
     medians = group_median(linked, ["transformer_id"], "recent_mean_kwh", "_median")
     deviated = linked.join(medians, "transformer_id", "left").select(
         *linked.columns,
-        F.round("_median", 6).alias("peer_median_recent_kwh"),
+        F.round(F.round("_median", 9), 6).alias("peer_median_recent_kwh"),
         F.coalesce(
             F.round(safe_div(F.col("_median") - F.col("recent_mean_kwh"), "_median"), 6), F.lit(0.0)
         ).alias("peer_deviation"),

@@ -432,8 +432,8 @@ def f8(spark, d):
 @query(
     "f9_customer_components_from_ml",
     """SELECT meter_id, round(s, 6) AS supervised_probability, round(a, 6) AS anomaly_score,
-              round(100e0 * (0.40e0 * s + 0.25e0 * a + 0.20e0 * grid_imbalance_score + 0.10e0 * peer_score
-                + 0.05e0 * spatial_score), 4) AS risk_score,
+              CAST(round(CAST(100e0 * (0.40e0 * s + 0.25e0 * a + 0.20e0 * grid_imbalance_score + 0.10e0 * peer_score
+                + 0.05e0 * spatial_score) AS DECIMAL(18, 9)), 4) AS DOUBLE) AS risk_score,
               round(least(1e0, greatest(0e0, 0.5e0 + 0.45e0 * s - 0.3e0 * flatline)), 6) AS confidence
        FROM (SELECT *, 1e0 / (1e0 + exp(-trend)) AS s,
                     least(1e0, greatest(0e0, greatest(1e0 - exp(-drop_ratio), flatline)
@@ -526,8 +526,8 @@ def _override(g: Grid):
 
 
 _REPLACED = f"""SELECT s.meter_id, round(coalesce(o.anomaly_score, s.anomaly_score), 6) AS anomaly_score,
-                  round(100e0 * (0.40e0 * supervised_probability + 0.25e0 * coalesce(o.anomaly_score, s.anomaly_score)
-                        + 0.20e0 * grid_imbalance_score + 0.10e0 * peer_score + 0.05e0 * spatial_score), 4) AS risk_score,
+                  CAST(round(CAST(100e0 * (0.40e0 * supervised_probability + 0.25e0 * coalesce(o.anomaly_score, s.anomaly_score)
+                        + 0.20e0 * grid_imbalance_score + 0.10e0 * peer_score + 0.05e0 * spatial_score) AS DECIMAL(18, 9)), 4) AS DOUBLE) AS risk_score,
                   round(confidence, 6) AS confidence
            FROM v_scored s LEFT JOIN ({_OVERRIDE}) o ON o.customer_id = s.meter_id"""
 

@@ -214,8 +214,8 @@ VIEW_SQL = {
                coalesce(o.solar_potential_flag, f.solar_potential_flag) AS solar_potential_flag
         FROM v_features f LEFT JOIN v_olap o USING (meter_id)""",
     "v_components": """
-        SELECT *, round(100e0 * (0.40e0 * supervised_probability + 0.25e0 * anomaly_score + 0.20e0 * grid_imbalance_score
-                                 + 0.10e0 * peer_score + 0.05e0 * spatial_score), 4) AS risk_score,
+        SELECT *, CAST(round(CAST(100e0 * (0.40e0 * supervised_probability + 0.25e0 * anomaly_score + 0.20e0 * grid_imbalance_score
+                                 + 0.10e0 * peer_score + 0.05e0 * spatial_score) AS DECIMAL(18, 9)), 4) AS DOUBLE) AS risk_score,
                least(1e0, greatest(0e0, 0.45e0 + 0.5e0 * supervised_probability - 0.35e0 * flatline)) AS confidence,
                greatest(1e-6, supervised_probability) AS suspicion_weight
         FROM (
@@ -240,8 +240,8 @@ VIEW_SQL = {
         SELECT *, CASE WHEN risk_score BETWEEN 0 AND 29 THEN 'LOW' WHEN risk_score BETWEEN 30 AND 49 THEN 'WATCH'
                        WHEN risk_score BETWEEN 50 AND 69 THEN 'MEDIUM' WHEN risk_score BETWEEN 70 AND 84 THEN 'HIGH'
                        ELSE 'CRITICAL' END AS risk_tier
-        FROM (SELECT *, round(100e0 * (0.40e0 * supervised_probability + 0.25e0 * anomaly_score + 0.20e0 * grid_imbalance_score
-                                 + 0.10e0 * peer_score + 0.05e0 * spatial_score), 4) AS risk_score,
+        FROM (SELECT *, CAST(round(CAST(100e0 * (0.40e0 * supervised_probability + 0.25e0 * anomaly_score + 0.20e0 * grid_imbalance_score
+                                 + 0.10e0 * peer_score + 0.05e0 * spatial_score) AS DECIMAL(18, 9)), 4) AS DOUBLE) AS risk_score,
                      least(1e0, greatest(0e0, 0.5e0 + 0.4e0 * supervised_probability)) AS confidence
               FROM (SELECT *, least(1e0, greatest(0e0, (unexplained_ratio - 0.02e0) / 0.06e0)) AS supervised_probability,
                        least(1e0, greatest(0e0, greatest(least(1e0, greatest(0e0, unexplained_ratio / 0.12e0)),
