@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattlens import schema as S
 from wattlens.functions import loss_value, inspection_priority, risk_tier
-from wattlens.session import pin_utc
+from wattlens.session import materialize, pin_utc
 
 
 def cents(column: str) -> F.Column:
@@ -222,9 +222,10 @@ class Grid:
 
     @cached_property
     def features(self) -> DataFrame:
+        """Feature snapshots: a stored table, as scoring and transformer features both read it."""
         from wattlens.operators.features import customer_features
 
-        return customer_features(self.readings, self.meters, self.energy, self.technical)
+        return materialize(customer_features(self.readings, self.meters, self.energy, self.technical), "snapshots")
 
     @cached_property
     def transformer_features(self) -> DataFrame:
