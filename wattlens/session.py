@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_owners: list[list[str]] = []
+_shipped: set[str] = set()
+
 
 def build_session(app: str = "wattlens", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on and all truncation done in UTC."""
@@ -48,9 +57,59 @@ def shared_dir(spark: SparkSession) -> str:
     return configured if configured else context.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application.
+
+    Functions that run in workers are pickled by reference, so every executor has
+    to be able to import them, wherever the driver was started.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    handle, path = tempfile.mkstemp(prefix=f"{root.name}-", suffix=".zip")
+    with os.fdopen(handle, "wb") as file:
+        file.write(archive.getvalue())
+    context.addPyFile(path)  # the driver serves it to the executors
+    _shipped.add(context.applicationId)
+
+
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder, owned by the open ``owned_stages``."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _owners:
+        _owners[-1].append(path)
+    return path
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stage tables and empty the list."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    paths.clear()
+
+
+@contextmanager
+def owned_stages(spark: SparkSession | None = None, into: list[str] | None = None) -> Iterator[list[str]]:
+    """Collect the stage tables written inside the block.
+
+    With ``spark`` they are removed when the block ends, so results must be used
+    inside it. Without, the caller drops them later with ``drop_paths``.
+    """
+    paths = [] if into is None else into
+    _owners.append(paths)
+    try:
+        yield paths
+    finally:
+        _owners.pop()
+        if spark is not None:
+            drop_paths(spark, paths)
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
