@@ -13,7 +13,7 @@ from xxhash import xxh64_intdigest
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
-STEMS = (4, 5, 7)
+STEMS = (4, 6)
 
 
 def held_out(parts: int, which: int):
@@ -26,28 +26,31 @@ def term_id(term: str) -> int:
     return xxh64_intdigest(term.encode("utf-8", "replace")) >> 1
 
 
-def word_terms(word: str) -> list[int]:
-    """A word and its stems: inflected forms of one stem share terms."""
-    return [term_id(word), *(term_id(f"{word[:n]}^") for n in STEMS if len(word) >= n)]
-
-
 def words(text: str) -> set[str]:
     """The distinct lower-cased words of a whole text."""
     return set(_WORD.findall(text.lower()))
 
 
+def word_and_stem_terms(text: str, ids: Callable[[str], int] = term_id) -> Iterator[int]:
+    """Terms of the distinct words of a text and of their stems, so that inflected forms share terms."""
+    found = words(text)
+    yield from map(term_id, found)
+    for length in STEMS:
+        yield from map(ids, {f"{word[:length]}^" for word in found if len(word) >= length})
+
+
 class TermCache:
-    """Remembers which terms a word has, so that frequent words are hashed once per worker."""
+    """``term_id`` that remembers; stems recur far more often than whole words."""
 
-    def __init__(self, make: Callable[[str], object]):
-        self.make, self.known = make, {}
+    def __init__(self):
+        self.known: dict[str, int] = {}
 
-    def __call__(self, word: str):
-        found = self.known.get(word)
+    def __call__(self, term: str) -> int:
+        found = self.known.get(term)
         if found is None:
             if len(self.known) >= _CACHE:
                 self.known.clear()
-            found = self.known[word] = self.make(word)
+            found = self.known[term] = term_id(term)
         return found
 
 

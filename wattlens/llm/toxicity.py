@@ -26,8 +26,7 @@ from wattlens.llm.terms import (
     labelled_sample,
     sigmoid,
     term_rows,
-    word_terms,
-    words,
+    word_and_stem_terms,
 )
 
 SAMPLE = 20_000  # labelled documents the model is fitted on, at most
@@ -37,9 +36,7 @@ _SCHEMA = "term long, weight double, factors array<double>"
 
 
 def text_terms(text: str) -> np.ndarray:
-    found: set[int] = set()
-    for word in words(text):
-        found.update(word_terms(word))
+    found = set(word_and_stem_terms(text))
     return np.fromiter(found, dtype=np.int64, count=len(found))
 
 
@@ -87,13 +84,11 @@ class Machine:
         rows = np.column_stack([known["weight"], np.array(known["factors"].tolist()).reshape(len(known), FACTORS)])
         self.rows = rows if len(known) else np.zeros((0, FACTORS + 1))
         self.place = {int(t): i for i, t in enumerate(known["term"])}
-        self.of_word = TermCache(lambda w: tuple(self.place[t] for t in word_terms(w) if t in self.place))
+        self.ids = TermCache()
 
     def score(self, text: str | None) -> float:
-        active: set[int] = set()
-        for word in words(text or ""):
-            active.update(self.of_word(word))
-        rows = self.rows[sorted(active)]
+        active = self.place.keys() & set(word_and_stem_terms(text or "", self.ids))
+        rows = self.rows[sorted(map(self.place.__getitem__, active))]
         sums = rows.sum(0)
         pairs = 0.5 * ((sums[1:] ** 2).sum() - (rows[:, 1:] ** 2).sum())
         return float(sigmoid(self.bias + sums[0] + pairs)) if np.isfinite(self.bias) else 0.0
