@@ -281,10 +281,13 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, members: int = MEMBERS) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, members: int = MEMBERS, as_text: bool = False
+) -> DataFrame:
     """The rows with n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes).
 
-    The text itself is not returned; ``kept`` takes its place.
+    The text itself is not returned; ``kept`` takes its place. ``as_text`` gives it as a string,
+    without the rest of characters that were cut in two.
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "_spans", "doc", "digest")
     spans = (
@@ -294,7 +297,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, memb
     )
     others = [c for c in docs.columns if c != "text"]
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    kind = "string" if as_text else "binary"
+
+    @F.pandas_udf(f"n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {kind}")
     def strip(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, spans in batches:
             rows = []
@@ -303,7 +308,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, memb
                 gone = merged(found) if found is not None else []
                 edges = [0, *(e for span in gone for e in span), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
+                left = kept.decode("utf-8", "ignore") if as_text else kept
+                rows.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), left))
             yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     text = F.coalesce("text", F.lit(""))

@@ -64,14 +64,17 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long, for every row."""
+    """(doc_id, digest, fp): text hash and fingerprint, as a signed long, of every row."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = np.array([fingerprint(t, width) for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": values.view(np.int64)})
+            yield pd.DataFrame(
+                {"doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"], "fp": values.view(np.int64)}
+            )
 
-    return docs.select("doc_id", "text").mapInPandas(emit, "doc_id long, fp long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    return rows.mapInPandas(emit, "doc_id long, digest long, fp long")
 
 
 def flips(bits: int, radius: int, shift: int = 0) -> dict[int, np.ndarray]:
@@ -171,14 +174,31 @@ def linked_fingerprints(values: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """doc_id, fp, component_id (smallest linked doc_id) and links (linked rows besides itself) per row."""
+    """doc_id, digest, fp, root, component_id (smallest linked doc_id) and members (rows linked) per row.
+
+    ``root`` is the least fingerprint of the component, which it has even if no row has an id.
+    """
     rows = materialize(fingerprints(docs, width), "simhash")
     own = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     roots = linked_fingerprints(own, distance)
     by_fp = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     by_root = by_fp.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("members"))
-    found = by_fp.select("fp", "root").join(by_root, "root").select("fp", "component_id", "members")
-    return rows.join(found, "fp").select("doc_id", "fp", "component_id", "members")
+    found = by_fp.select("fp", "root").join(by_root, "root").select("fp", "root", "component_id", "members")
+    return rows.join(found, "fp").select("doc_id", "digest", "fp", "root", "component_id", "members")
+
+
+def one_of_each(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
+    """The rows of ``docs`` less near-duplicates: of each component the row with the smallest id stays.
+
+    Of several rows with that id, the one with the smallest text hash stays.
+    """
+    key = (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long"))
+    rank = F.struct(key[0].alias("none"), key[1].alias("id"), F.col("digest").alias("digest"))
+    found = near_duplicates(docs, width, distance)
+    stays = found.groupBy("root").agg(F.min(rank).alias("_s")).select(*[F.col(f"_s.{k}").alias(f"_{k}") for k in ("none", "id", "digest")])
+    keyed = docs.withColumns({"_none": key[0], "_id": key[1], "_digest": F.xxhash64("text")})
+    names = ["_none", "_id", "_digest"]
+    return keyed.join(stays.distinct(), names, "left_semi").dropDuplicates(names).drop(*names)
 
 
 def fingerprint_hex(fp):
