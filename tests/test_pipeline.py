@@ -322,3 +322,41 @@ def test_model_ranks_theft_above_normal(spark):
 def test_heuristic_fallback_without_labels(spark):
     out = ml.score_or_fallback(population(spark, 20))
     assert out.count() == 20 and "confidence" in out.columns
+
+
+def test_one_year_in_two_dialects_and_column_orders(spark, tmp_path):
+    head = ["PRODUCTSOORT", "POSTCODE_VAN", "STRAATNAAM", "WOONPLAATS", "SJA_GEMIDDELD"]
+    (tmp_path / "a 2027.csv").write_text("\t".join(head) + "\nELK\t3011AB\tKade\tRotterdam\t100,5\n")
+    (tmp_path / "b 2027.csv").write_text(";".join(head) + "\nELK;3012AB;Kade;Rotterdam;200\n")
+    (tmp_path / "c 2023.csv").write_text(";".join(reversed(head)) + "\n300;Rotterdam;Kade;3013AB;ELK\n")
+    years = files.scan_years(spark, str(tmp_path / "*.csv"))
+    got = sorted((r.year, r.postcode, r.sja_kwh) for r in years.collect())
+    assert got == [(2023, "3013AB", 300.0), (2027, "3011AB", 100.5), (2027, "3012AB", 200.0)]
+    segments = opendata.segment_pivot(years)
+    assert segments.count() == 3 and {"sja_2023", "sja_2027"} <= set(segments.columns)
+    assert opendata.top_segments(segments, 2).count() == 2
+
+
+def test_part_files_with_another_header_are_refused(spark, tmp_path):
+    (tmp_path / "part-0.csv").write_text("name,code\nNorth,N\n")
+    (tmp_path / "part-1.csv").write_text("code,name\nS,South\n")
+    with pytest.raises(Exception, match="header"):
+        files.read_checked_csv(spark, str(tmp_path), ["name", "code"], "regions.csv").collect()
+
+
+def test_generation_labels_are_text(spark, tmp_path):
+    path, rows = str(tmp_path), spark.range(3)
+    tables.publish_generation(rows, path, "006")
+    tables.publish_generation(rows, path, "007")
+    with pytest.raises(ValueError, match="current"):
+        tables.publish_generation(rows, path, "007")
+    got = {(r.generation, r.is_current) for r in tables.published_scores(spark, path).collect()}
+    assert got == {("006", False), ("007", True)}
+
+
+def test_streams_read_a_table_folder(spark, tmp_path):
+    path = str(tmp_path / "events.parquet")
+    rows = spark.range(100).select((F.lit(1_700_000_000) + F.col("id") * 600).cast("timestamp").alias("timestamp"), F.lit(1.0).alias("kwh"))
+    rows.repartition(3).write.parquet(path)
+    got = st.run_available(st.hourly_volume(st.file_stream(spark, path)), "hourly")
+    assert got.count() > 5

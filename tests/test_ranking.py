@@ -71,3 +71,13 @@ def test_ranks_outside_the_group_are_null(spark):
     df = spark.createDataFrame([("a", 5.0), ("b", 1.0), ("b", 2.0)], "k string, v double")
     got = {r.k: r.second for r in order_statistics(df, ["k"], "v", {"first": lambda n: F.lit(0), "second": lambda n: F.lit(1)}).collect()}
     assert got == {"a": None, "b": 2.0}
+
+
+def test_median_of_concentrated_values(spark, monkeypatch):
+    monkeypatch.setattr("wattlens.operators.ranking.BUCKET", 500)
+    rows = spark.range(200_000).select(
+        (F.col("id") % 2).alias("k"), (1000 + F.pmod(F.col("id") * 7919, F.lit(200_000)) / 20_000).alias("v")
+    )
+    got = {r["k"]: r["m"] for r in group_median(rows, ["k"], "v", "m").collect()}
+    want = {r["k"]: r["m"] for r in rows.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    assert got == want

@@ -2,41 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattlens import schema as S
 from wattlens.functions import hash_unit, normalize_zip, pc4_of, postcode_lonlat, segment_key, slug
 from wattlens.operators.ranking import positions
 
-MAX_SEGMENTS = 2000
 PROFILE_HOURS = 1440
 PROFILE_END = datetime(2026, 6, 1)
 
 
-def segment_pivot(years: DataFrame) -> DataFrame:
-    """One row per street: most connections, mean use per year, latest and baseline use."""
+def segment_pivot(years: DataFrame, of: Sequence[int] | None = None) -> DataFrame:
+    """One row per street: most connections, mean use per year, latest and baseline use.
+
+    The years become columns; by default all that occur, a handful.
+    """
     year = F.col("year")
+    of = sorted(of if of is not None else [r["year"] for r in years.select("year").distinct().collect() if r["year"] is not None])
+    uses = [f"sja_{y}" for y in of] or [F.lit(None).cast("double")]
     pivoted = years.groupBy("postcode", "street", "city").agg(
         F.max("connections").alias("connections"),
-        *[F.avg(F.when(year == y, F.col("sja_kwh"))).alias(f"sja_{y}") for y in (2024, 2025, 2026)],
+        *[F.avg(F.when(year == y, F.col("sja_kwh"))).alias(f"sja_{y}") for y in of],
         F.avg("smart_meter_pct").alias("smart_meter_pct"),
     )
     return pivoted.select(
         segment_key("postcode", "street", "city").alias("segment_key"),
         "*",
-        F.coalesce("sja_2026", "sja_2025", "sja_2024").alias("sja_latest"),
-        F.coalesce("sja_2024", "sja_2025", "sja_2026").alias("sja_baseline"),
+        F.coalesce(*reversed(uses)).alias("sja_latest"),
+        F.coalesce(*uses).alias("sja_baseline"),
     ).filter(F.col("sja_latest").isNotNull())
 
 
-def top_segments(segments: DataFrame, limit: int = MAX_SEGMENTS) -> DataFrame:
-    """The ``limit`` segments with most connections; one row per key."""
-    top = segments.orderBy(F.desc("connections"), "segment_key", "postcode", "street", "city").limit(limit)
-    first = Window.partitionBy("segment_key").orderBy(F.desc("connections"), "postcode", "street", "city")
-    return top.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
+def top_segments(segments: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` keys with most connections, each by its row with most connections."""
+    order = F.struct((-F.col("connections")).alias("_c"), "postcode", "street", "city")
+    others = [c for c in segments.columns if c != "segment_key"]
+    best = segments.groupBy("segment_key").agg(F.min_by(F.struct(*others), order).alias("_s"))
+    return best.select("segment_key", "_s.*").orderBy(F.desc("connections"), "segment_key").limit(limit)
 
 
 def distinct_cities(segments: DataFrame, prefix: str = "STEDIN", root: str = "Stedin Netbeheer") -> DataFrame:
@@ -172,9 +178,8 @@ def assign_zipcodes(customers: DataFrame, weights: DataFrame, seed: int = 42) ->
     boundaries are sorted together and each point takes the next boundary at or
     above it; the cumulative sums come from range-partitioned totals, not one task.
     """
-    edges = positions(
-        weights, [F.desc("weight"), F.col("zipcode").asc()], running={"edge": "weight"}
-    ).filter("weight > 0")
+    weights = weights.filter("weight > 0")
+    edges = positions(weights, [F.desc("weight"), F.col("zipcode").asc()], running={"edge": "weight"})
     unit, _ = hash_unit(F.lit(str(seed)), F.col("id").cast("string"))
     total = weights.select(F.sum("weight").cast("double")).scalar()
     missing = customers.filter(F.col("zipcode").isNull()).select("id", F.floor(unit * total).alias("point"))
@@ -194,11 +199,22 @@ def assign_zipcodes(customers: DataFrame, weights: DataFrame, seed: int = 42) ->
     )
 
 
+_PRIME = (1 << 31) - 1
+_STEPS = (1_103_515_245, 742_938_285)
+
+
+def _hour_unit(key: Column, step: int) -> Column:
+    """A number in [0, 1) from a key's hash and the hour: a quadratic congruence."""
+    x = (key + F.col("idx").cast("bigint") * F.lit(step)) % F.lit(_PRIME)
+    return (x * x) % F.lit(_PRIME) / F.lit(float(_PRIME))
+
+
 def expand_annual_profile(segments: DataFrame, hours: int = PROFILE_HOURS, end: datetime = PROFILE_END, noise: float = 0.04) -> DataFrame:
     """Hourly rows from annual use: daily and seasonal shape, hashed noise, rescaled to the target total.
 
     The noise is centred on 1 with the given spread and depends only on the key and
-    the hour, so a re-run gives the same rows.
+    the hour, so a re-run gives the same rows. The key is hashed once; its hours
+    follow from that by integer arithmetic.
     """
     recent_hours = max(int(hours * 0.25), S.RECENT_HOURS)
     split = hours - recent_hours
@@ -207,8 +223,10 @@ def expand_annual_profile(segments: DataFrame, hours: int = PROFILE_HOURS, end:
     # not by size. Their rows then stay where they are: the rescaling window is over
     # the same key and needs no further shuffle.
     tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one, two = hash_unit("segment_key")
+    seeds = [F.floor(unit * _PRIME).alias(name) for unit, name in ((one, "k1"), (two, "k2"))]
     slots = (
-        segments.select("segment_key", F.col("sja_baseline").alias("b"), F.col("sja_latest").alias("l"))
+        segments.select("segment_key", F.col("sja_baseline").alias("b"), F.col("sja_latest").alias("l"), *seeds)
         .repartition(tasks, "segment_key")
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(hours - 1))).alias("idx"))
         .withColumn("timestamp", F.timestamp_seconds(last - (F.lit(hours - 1) - F.col("idx")) * 3600))
@@ -217,7 +235,7 @@ def expand_annual_profile(segments: DataFrame, hours: int = PROFILE_HOURS, end:
     diurnal = F.when((hour < 7) | (hour > 22), 0.45).when(hour.between(17, 21), 1.1).otherwise(0.85)
     seasonal = F.lit(1.0) + F.lit(0.15) * F.sin(F.lit(2.0) * F.pi() * (F.dayofyear("timestamp") / F.lit(365.0)))
     annual = F.when(F.col("idx") < split, F.col("b")).otherwise(F.col("l"))
-    u, v = hash_unit("segment_key", F.col("idx").cast("string"))
+    u, v = (_hour_unit(F.col(k), step) for k, step in zip(("k1", "k2"), _STEPS, strict=True))
     jitter = F.lit(1.0) + F.lit(noise) * (u + v - 1.0) * F.sqrt(F.lit(6.0))
     raw = slots.withColumn("kwh", F.greatest(annual / S.HOURS_PER_YEAR * seasonal * diurnal * jitter, F.lit(0.0)))
     total = F.sum("kwh").over(Window.partitionBy("segment_key"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from wattlens.session import materialize
 
+BUCKET = 10_000  # different values that are sorted together
+_PARTS = 1_024  # equal widths a larger bucket is cut into
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
 
@@ -144,20 +146,20 @@ def order_statistics(
     Each entry of ``ranks`` maps the group size to a 0-based rank (out-of-range ranks
     give null). Equal values are first folded into counts; a histogram over
     logarithmic buckets then finds the bucket each rank falls in, and only those
-    buckets are sorted. No task ever holds a whole group, and every step is
-    deterministic, so retried tasks agree with each other.
+    buckets are sorted. A bucket that still holds many different values is cut into
+    equal widths between its ends, again and again, until the one with the rank is
+    small. No task ever sorts a whole group, and every step is deterministic, so
+    retried tasks agree with each other.
     """
-    counted = (
+    counted = materialize(
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_w"))
-        .withColumn("_b", _log_bucket(F.col("_v")))
+        .withColumn("_b", _log_bucket(F.col("_v"))),
+        "counted",
     )
-    by_bucket = Window.partitionBy(*keys).orderBy("_b")
     histogram = (
-        counted.groupBy(*keys, "_b")
-        .agg(F.sum("_w").alias("_bw"))
-        .withColumn("_below", F.sum("_bw").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_bw"))
+        _below(counted.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bw"), F.count(F.lit(1)).alias("_many")), keys, "_b")
         .withColumn("n", F.sum("_bw").over(Window.partitionBy(*keys)))
     )
     asked = F.array(
@@ -169,22 +171,39 @@ def order_statistics(
     inside = F.filter(
         asked, lambda r: (r["rank"] >= F.col("_below")) & (r["rank"] < F.col("_below") + F.col("_bw"))
     )
-    picks = histogram.select(*keys, "_b", "_below", F.explode(inside).alias("_pick")).select(
-        *keys, "_b", "_below", F.col("_pick.name").alias("_name"), F.col("_pick.rank").alias("_rank")
-    )
-    sorted_bucket = (
-        Window.partitionBy(*keys, "_b", "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    picks = histogram.select(*keys, "_b", "_below", "_many", F.explode(inside).alias("_pick")).select(
+        *keys, "_b", "_below", "_many", F.col("_pick.name").alias("_name"), F.col("_pick.rank").alias("_rank")
     )
+    group = [*keys, "_name"]
+    found = counted.join(picks, [*keys, "_b"]).select(*group, "_rank", "_below", "_v", "_w")
+    while (picks.agg(F.max("_many")).first()[0] or 0) > BUCKET:
+        ends = found.groupBy(*group).agg(
+            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_of")
+        )
+        part = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (_PARTS - 1))
+        cut = materialize(
+            found.join(ends, group).withColumn("_b", F.when(F.col("_of") > BUCKET, part).otherwise(F.lit(0))),
+            "parts",
+        )
+        sizes = cut.groupBy(*group, "_b", "_rank", F.col("_below").alias("_start")).agg(
+            F.sum("_w").alias("_bw"), F.count(F.lit(1)).alias("_many")
+        )
+        sizes = _below(sizes, group, "_b").withColumn("_below", F.col("_start") + F.col("_below"))
+        holds = (F.col("_rank") >= F.col("_below")) & (F.col("_rank") < F.col("_below") + F.col("_bw"))
+        picks = materialize(sizes.filter(holds).select(*group, "_b", "_below", "_many"), "picks")
+        found = cut.drop("_below").join(picks, [*group, "_b"]).select(*group, "_rank", "_below", "_v", "_w")
+    sorted_bucket = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     last = F.col("_below") + F.sum("_w").over(sorted_bucket)
-    found = (
-        counted.join(picks, [*keys, "_b"])
-        .withColumn("_last", last)
-        .filter((F.col("_rank") < F.col("_last")) & (F.col("_rank") >= F.col("_last") - F.col("_w")))
+    hit = found.withColumn("_last", last).filter(
+        (F.col("_rank") < F.col("_last")) & (F.col("_rank") >= F.col("_last") - F.col("_w"))
     )
-    values = found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks]
-    )
-    return values
+    return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks])
+
+
+def _below(histogram: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
+    """Add how many rows lie in the earlier buckets of the same keys."""
+    upto = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
+    return histogram.withColumn("_below", F.sum("_bw").over(upto) - F.col("_bw"))
 
 
 def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

@@ -10,6 +10,7 @@ from wattlens.operators import opendata as od
 from wattlens.operators import sequences as sq
 from wattlens.operators import lookups
 from wattlens.plans.grid_queries import day, long, stamp
+from wattlens.plans.list_queries import MACRO_MIX, macro_mix
 from wattlens.plans.registry import query
 from wattlens.plans.views import Grid
 from wattlens.session import work_path
@@ -95,16 +96,12 @@ def s4(spark, d):
 
 @query(
     "s5_write_series_parquet",
-    """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS timestamp,
-              round(sum(CAST(round(value * 100) AS BIGINT)) / 1000e0, 4) AS national_load_mw FROM events GROUP BY 1""",
+    MACRO_MIX,
 )
 def s5(spark, d):
-    hourly = Grid(spark, d).table("events").groupBy(F.date_trunc("hour", "ts").alias("timestamp")).agg(
-        F.sum(F.round(F.col("value") * 100).cast("bigint")).cast("double").alias("kwh")
-    )
     path = work_path(spark, "series")
-    files.write_series_parquet(spark, lookups.macro_mix(hourly, hourly.limit(0), hourly.limit(0)), path)
-    return spark.read.parquet(path).select(stamp("timestamp").alias("timestamp"), "national_load_mw")
+    files.write_series_parquet(spark, macro_mix(Grid(spark, d)), path)
+    return spark.read.parquet(path).withColumn("timestamp", stamp("timestamp"))
 
 
 _CONTEXT = """SELECT event_id, event_type, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) AS k FROM events"""
@@ -422,9 +419,9 @@ def f21(spark, d):
     return Grid(spark, d).table("documents").select("doc_id", fn.slug("text").alias("slug"))
 
 
-@query("f22_segment_key", "SELECT id, upper(zipcode || '|' || external_ref || '|' || city) AS segment_key FROM v_customers WHERE zipcode IS NOT NULL")
+@query("f22_segment_key", "SELECT id, upper(concat_ws('|', zipcode, external_ref, city)) AS segment_key FROM v_customers")
 def f22(spark, d):
-    return Grid(spark, d).customers.filter("zipcode IS NOT NULL").select("id", fn.segment_key("zipcode", "external_ref", "city").alias("segment_key"))
+    return Grid(spark, d).customers.select("id", fn.segment_key("zipcode", "external_ref", "city").alias("segment_key"))
 
 
 @query("f23_parse_wkt_point", "SELECT id, CASE WHEN id % 10 > 0 THEN lon END AS lon, CASE WHEN id % 10 > 0 THEN lat END AS lat FROM v_customers")
@@ -436,17 +433,17 @@ def f23(spark, d):
 
 _CENTROIDS = ", ".join(f"({k}, {lon}e0, {lat}e0)" for k, (lon, lat) in fn.PC2_CENTROIDS.items())
 _LONLAT = f"""SELECT id, round(coalesce(z.lon, 4.48e0) + ({_u32("pc4", 1)} / 4294967296e0 - 0.5e0) * 0.16e0
-                 + ({_u32("pc || '|' || external_ref", 1)} / 4294967296e0 - 0.5e0) * 0.012e0, 6) AS lon,
+                 + ({_u32("concat_ws('|', pc, external_ref)", 1)} / 4294967296e0 - 0.5e0) * 0.012e0, 6) AS lon,
               round(coalesce(z.lat, 51.92e0) + ({_u32("pc4", 9)} / 4294967296e0 - 0.5e0) * 0.11e0
-                 + ({_u32("pc || '|' || external_ref", 9)} / 4294967296e0 - 0.5e0) * 0.009e0, 6) AS lat
-       FROM (SELECT *, upper(replace(zipcode, ' ', '')) AS pc, substr(zipcode, 1, 4) AS pc4 FROM v_customers WHERE zipcode IS NOT NULL) c
+                 + ({_u32("concat_ws('|', pc, external_ref)", 9)} / 4294967296e0 - 0.5e0) * 0.009e0, 6) AS lat
+       FROM (SELECT *, upper(replace(zipcode, ' ', '')) AS pc, coalesce(substr(zipcode, 1, 4), '{fn.DEFAULT_PC4}') AS pc4 FROM v_customers) c
        LEFT JOIN (VALUES {_CENTROIDS}) z(pc2, lon, lat) ON z.pc2 = CAST(pc4 AS BIGINT) // 100"""
 
 
 @query("f24_postcode_lonlat", _LONLAT)
 def f24(spark, d):
     lon, lat = fn.postcode_lonlat("zipcode", "external_ref")
-    return Grid(spark, d).customers.filter("zipcode IS NOT NULL").select("id", lon.alias("lon"), lat.alias("lat"))
+    return Grid(spark, d).customers.select("id", lon.alias("lon"), lat.alias("lat"))
 
 
 @query("f25_hour_bucket", "SELECT event_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour FROM events")
@@ -505,12 +502,12 @@ def a12(spark, d):
 
 
 _WEIGHTS = """SELECT upper(replace(zipcode_from, ' ', '')) AS zipcode, CAST(sum(coalesce(num_connections, 1)) AS BIGINT) AS weight
-              FROM v_streets WHERE lower(city) = 'amsterdam' AND zipcode_from IS NOT NULL GROUP BY 1"""
+              FROM v_streets WHERE lower(city) = 'amsterdam' GROUP BY 1"""
 
 
 @query("a13_zip_weights", _WEIGHTS)
 def a13(spark, d):
-    return od.zip_weights(Grid(spark, d).streets.filter("zipcode_from IS NOT NULL"))
+    return od.zip_weights(Grid(spark, d).streets)
 
 
 @query("a14_segment_pivot", "SELECT * FROM v_segments")
@@ -544,7 +541,7 @@ def j13(spark, d):
 
 @query(
     "j14_geocode_join",
-    f"""WITH rows AS (SELECT *, upper(replace(zipcode, ' ', '')) AS pc FROM v_customers WHERE zipcode IS NOT NULL),
+    f"""WITH rows AS (SELECT *, upper(replace(zipcode, ' ', '')) AS pc FROM v_customers),
         p AS (SELECT pc, min(lon) AS lon, min(lat) AS lat FROM rows WHERE customer_type = 'HOUSEHOLD' GROUP BY 1),
         s AS (SELECT external_ref, city, lon, lat FROM rows WHERE customer_type = 'MACHINERY'),
         a AS (SELECT substr(pc, 1, 4) AS pc4, min(lon) AS lon, min(lat) AS lat FROM rows WHERE customer_type = 'FURNITURE' GROUP BY 1)
@@ -555,7 +552,7 @@ def j13(spark, d):
         LEFT JOIN a ON a.pc4 = substr(r.pc, 1, 4) LEFT JOIN ({_LONLAT}) h ON h.id = r.id""",
 )
 def j14(spark, d):
-    people = Grid(spark, d).customers.filter("zipcode IS NOT NULL")
+    people = Grid(spark, d).customers
     pc = fn.normalize_zip("zipcode")
 
     def known(kind, segment, key):
@@ -589,15 +586,18 @@ def l12(spark, d):
 
 _HOURS = 1440
 _SPLIT = 1080
+_NOISE = "((({k} + idx * {step}) % 2147483647) * (({k} + idx * {step}) % 2147483647) % 2147483647 / 2147483647e0)"
 _PROFILE = f"""WITH raw AS (
         SELECT segment_key, idx, sja_baseline AS b, sja_latest AS l, ts,
                greatest(0e0, (CASE WHEN idx < {_SPLIT} THEN sja_baseline ELSE sja_latest END) / 8760
                  * (1e0 + 0.15e0 * sin(2e0 * pi() * (dayofyear(ts) / 365e0)))
                  * (CASE WHEN hour(ts) < 7 OR hour(ts) > 22 THEN 0.45e0 WHEN hour(ts) BETWEEN 17 AND 21 THEN 1.1e0 ELSE 0.85e0 END)
-                 * (1e0 + 0.04e0 * ({_u32("segment_key || '|' || idx", 1)} / 4294967296e0 + {_u32("segment_key || '|' || idx", 9)} / 4294967296e0 - 1e0)
+                 * (1e0 + 0.04e0 * ({_NOISE.format(k="k1", step=1103515245)} + {_NOISE.format(k="k2", step=742938285)} - 1e0)
                     * sqrt(6e0))) AS kwh
         FROM (SELECT s.*, i.idx, TIMESTAMP '2026-06-01' - ({_HOURS} - 1 - i.idx) * INTERVAL 1 HOUR AS ts
-              FROM v_segments s CROSS JOIN (SELECT unnest(range({_HOURS})) AS idx) i))"""
+              FROM (SELECT *, CAST(floor({_u32("segment_key", 1)} / 4294967296e0 * 2147483647) AS BIGINT) AS k1,
+                           CAST(floor({_u32("segment_key", 9)} / 4294967296e0 * 2147483647) AS BIGINT) AS k2 FROM v_segments) s
+              CROSS JOIN (SELECT unnest(range({_HOURS})) AS idx) i))"""
 
 
 @query(
@@ -618,7 +618,7 @@ def y7(spark, d):
 
 @query(
     "y8_weighted_zip_assign",
-    f"""WITH w AS (SELECT *, sum(weight) OVER (ORDER BY weight DESC, zipcode) AS edge, sum(weight) OVER () AS total FROM ({_WEIGHTS}) WHERE weight > 0),
+    f"""WITH w AS (SELECT *, sum(weight) OVER (ORDER BY weight DESC, zipcode NULLS FIRST) AS edge, sum(weight) OVER () AS total FROM ({_WEIGHTS}) WHERE weight > 0),
         pts AS (SELECT id, CAST(floor({_u32("'42|' || id", 1)} / 4294967296e0 * (SELECT CAST(max(total) AS DOUBLE) FROM w)) AS BIGINT) AS point
                 FROM v_customers WHERE zipcode IS NULL)
         SELECT c.id, coalesce(c.zipcode, x.zipcode) AS zipcode FROM v_customers c LEFT JOIN (
@@ -626,7 +626,7 @@ def y7(spark, d):
 )
 def y8(spark, d):
     g = Grid(spark, d)
-    return od.assign_zipcodes(g.customers, od.zip_weights(g.streets.filter("zipcode_from IS NOT NULL"))).select("id", "zipcode")
+    return od.assign_zipcodes(g.customers, od.zip_weights(g.streets)).select("id", "zipcode")
 
 
 # ---- Y1-Y6, L7, L8, S17 ---------------------------------------------------------

@@ -319,25 +319,29 @@ _HOURLY = """SELECT date_trunc('hour', ts) AS timestamp, sum(CASE WHEN {cond} TH
              FROM events WHERE {cond} GROUP BY 1"""
 
 
-@query(
-    "j16_macro_mix_join",
-    f"""SELECT strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, round(l, 4) AS national_load_mw,
+MACRO_MIX = f"""SELECT strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, round(l, 4) AS national_load_mw,
                round(s / greatest(s + w, 1e0), 6) AS production_mix_solar, round(w / greatest(s + w, 1e0), 6) AS production_mix_wind,
                CASE WHEN l > 12000 THEN 'high_demand' WHEN s + w < 500 THEN 'low_renewables' ELSE 'normal' END AS grid_status_flag
         FROM (SELECT l.timestamp, l.v * 1000 / 1000e0 AS l, coalesce(s.v * 100, 0) / 1000e0 AS s, coalesce(w.v * 100, 0) / 1000e0 AS w
               FROM ({_HOURLY.format(cond="TRUE")}) l LEFT JOIN ({_HOURLY.format(cond="event_type = 'view'")}) s USING (timestamp)
-              LEFT JOIN ({_HOURLY.format(cond="event_type = 'click'")}) w USING (timestamp))""",
-)
-def j16(spark, d):
-    e = Grid(spark, d).table("events")
+              LEFT JOIN ({_HOURLY.format(cond="event_type = 'click'")}) w USING (timestamp))"""
+
+
+def macro_mix(g: Grid):
+    """Hourly load of all events, with two of their kinds standing in for solar and wind."""
+    e = g.table("events")
 
     def hourly(kind: str | None, scale: int):
         rows = e if kind is None else e.filter(F.col("event_type") == kind)
         cents = F.sum(F.round(F.col("value") * 100).cast("bigint"))
         return rows.groupBy(F.date_trunc("hour", "ts").alias("timestamp")).agg((cents * scale).cast("double").alias("kwh"))
 
-    mix = lookups.macro_mix(hourly(None, 1000), hourly("view", 100), hourly("click", 100))
-    return mix.withColumn("timestamp", stamp("timestamp"))
+    return lookups.macro_mix(hourly(None, 1000), hourly("view", 100), hourly("click", 100))
+
+
+@query("j16_macro_mix_join", MACRO_MIX)
+def j16(spark, d):
+    return macro_mix(Grid(spark, d)).withColumn("timestamp", stamp("timestamp"))
 
 
 # ---- A8-A11, A20, A26, A28, A29 -------------------------------------------------
@@ -674,10 +678,10 @@ def u1(spark, d):
 @query(
     "u3_dedupe_keys",
     """SELECT zipcode, id, external_ref FROM (SELECT zipcode, id, external_ref, row_number() OVER (PARTITION BY zipcode ORDER BY id) AS rn
-       FROM v_customers WHERE zipcode IS NOT NULL) WHERE rn = 1""",
+       FROM v_customers) WHERE rn = 1""",
 )
 def u3(spark, d):
-    rows = Grid(spark, d).customers.filter("zipcode IS NOT NULL").select("zipcode", "id", "external_ref")
+    rows = Grid(spark, d).customers.select("zipcode", "id", "external_ref")
     return lookups.dedupe_keys(rows, ["zipcode"], ["id"])
 
 

@@ -195,7 +195,7 @@ def m10(spark, d):
 # ---- T1-T4 ----------------------------------------------------------------------
 def _event_stream(spark, d):
     Grid(spark, d)  # pins the session to UTC
-    return st.file_stream(spark, d, "events.parquet")
+    return st.file_stream(spark, f"{d}/events.parquet")
 
 
 @query(
@@ -244,7 +244,7 @@ def t3(spark, d):
     }
     days = None
     for name, value in sides.items():
-        rows = st.file_stream(spark, d, "lineitem.parquet").select(
+        rows = st.file_stream(spark, f"{d}/lineitem.parquet").select(
             F.col("l_shipdate").cast("timestamp").alias("timestamp"), value.cast("double").alias("v")
         )
         side = st.run_available(st.daily_side(rows, "timestamp", "v"), "daily").select("start", F.col("kwh").alias(name))

@@ -117,7 +117,7 @@ VIEW_SQL = {
         FROM (SELECT *, greatest(base_end, n - 336) AS recent_start
               FROM (SELECT *, least(504, greatest(0, n - 336)) AS base_end FROM v_hours))""",
     "v_meters": """
-        SELECT * FROM v_customers WHERE id IN (SELECT meter_id FROM v_readings)""",
+        SELECT * FROM v_customers""",
     "v_grid": """
         SELECT m.id AS meter_id, w.idx, w.h, w.part, w.n, coalesce(r.consumption_kwh, 0e0) AS kwh
         FROM v_meters m CROSS JOIN v_windows w
@@ -172,7 +172,8 @@ VIEW_SQL = {
                          FROM v_technical GROUP BY 1) l ON l.asset_id = t.transformer_id)""",
     "v_peer": """
         SELECT b.*, c.transformer_id, c.region_id, p.med AS peer_median,
-               round((p.med - b.recent_mean_kwh) / (CASE WHEN abs(p.med) > 1e-9 THEN p.med ELSE 1e-9 END), 6) AS peer_deviation
+               CASE WHEN abs(p.med) > 1e-9 THEN round((p.med - b.recent_mean_kwh) / p.med, 6)
+                    ELSE (p.med - b.recent_mean_kwh) / 1e-9 END AS peer_deviation
         FROM v_base b JOIN v_meters c ON c.id = b.meter_id
         JOIN (SELECT transformer_id, median(recent_mean_kwh) AS med FROM v_base JOIN v_meters ON id = meter_id GROUP BY 1) p
           ON p.transformer_id = c.transformer_id""",

@@ -17,7 +17,11 @@ def cents(column: str) -> F.Column:
 
 
 class Grid:
-    """Lazy views; nothing runs until a query's result is used."""
+    """The grid tables; a view is built when a query first names it.
+
+    Most are lazy. ``features`` and what builds on it write stage tables while a
+    query is being put together, because several of its branches read them.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         pin_utc(spark)
@@ -215,10 +219,8 @@ class Grid:
 
     @cached_property
     def meters(self) -> DataFrame:
-        """Customers that have readings."""
-        return self.customers.join(
-            self.readings.select(F.col("meter_id").alias("id")).distinct(), "id", "left_semi"
-        )
+        """Every customer: one without readings has a series of zeros."""
+        return self.customers
 
     @cached_property
     def features(self) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +24,9 @@ def read_checked_csv(spark: SparkSession, path: str, required: Sequence[str], la
     """CSV with a header; columns are matched by name and kept as text.
 
     Every column of ``schema`` that the file lacks comes back null. Missing required
-    columns are an error that names them.
+    columns are an error that names them, and so are part files whose headers differ.
     """
-    df = spark.read.option("header", True).csv(path)
+    df = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"{label} missing required columns: {', '.join(missing)}")
@@ -68,13 +71,33 @@ def _decimal_comma(name: str) -> Column:
     return F.regexp_replace(name, ",", ".").try_cast("double")
 
 
-def read_year_csv(spark: SparkSession, paths: str | list[str], separator: str | None = None) -> DataFrame:
-    """One dialect of the yearly file: separator sniffed from the header line, decimal
-    comma, byte-order mark, short or long rows, and either name of the use column."""
-    if separator is None:
-        header = spark.read.text(paths).first()
-        line = header[0] if header else ""
-        separator = ";" if ";" in line and "\t" not in line else "\t"
+def _first_line(spark: SparkSession, path: str) -> str:
+    """The header of one file, without reading on."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
+    try:
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+
+
+def read_year_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Yearly files: decimal comma, byte-order mark, short or long rows, and either name of
+    the use column. Files are grouped by their header line, so each is read with its own
+    separator (the one that cuts the header into more columns) and its own column order."""
+    dialects: dict[str, list[str]] = {}
+    for file in _listed(spark, paths):
+        dialects.setdefault(_first_line(spark, file), []).append(file)
+    parts = [
+        _read_dialect(spark, files, max("\t;", key=header.count)) for header, files in sorted(dialects.items()) if header
+    ]
+    if not parts:
+        raise FileNotFoundError(f"no file with a header line in {paths}")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _read_dialect(spark: SparkSession, paths: list[str], separator: str) -> DataFrame:
     raw = spark.read.option("header", True).option("sep", separator).csv(paths)
     raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
     col = {c: F.col(c) if c in raw.columns else F.lit(None).cast("string") for c in _YEAR_COLUMNS}
@@ -90,19 +113,21 @@ def read_year_csv(spark: SparkSession, paths: str | list[str], separator: str |
     )
 
 
+def _listed(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    return [unquote(f) for f in spark.read.text(paths).inputFiles()]
+
+
 def scan_years(spark: SparkSession, pattern: str, product: str = "ELK") -> DataFrame:
     """All yearly files that ``pattern`` matches; the year ends the file's name.
 
-    Only the file list reaches the driver. Each year is one scan in its own dialect;
-    files whose name does not end in a number are skipped.
+    Only the file list and the header lines reach the driver. Files of one year may
+    differ in dialect; files whose name does not end in a number are skipped.
     """
-    import re
-
     by_year: dict[int, list[str]] = {}
-    for f in spark.read.text(pattern).inputFiles():
-        found = re.search(_YEAR_TOKEN, f.replace("%20", " "))
+    for f in _listed(spark, pattern):
+        found = re.search(_YEAR_TOKEN, f)
         if found:
-            by_year.setdefault(int(found.group(1)), []).append(f.replace("%20", " "))
+            by_year.setdefault(int(found.group(1)), []).append(f)
     if not by_year:
         raise FileNotFoundError(f"no yearly files match {pattern}")
     out = None

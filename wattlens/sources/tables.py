@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from wattlens.session import work_path
 
@@ -59,19 +61,38 @@ def publish_generation(scores: DataFrame, path: str, generation: str) -> None:
     """Add a generation of scores, then make it the current one.
 
     Readers see the new rows only once the pointer names them, so a failed write
-    leaves the old generation current.
+    leaves the old generation current. The current generation has readers, so it is
+    not written again; one that failed before it became current is.
     """
-    scores.drop("is_current").write.mode("overwrite").parquet(f"{path}/generations/generation={generation}")
     spark = scores.sparkSession
+    if _current_generation(spark, path) == generation:
+        raise ValueError(f"generation {generation} is the current one")
+    scores.drop("is_current").write.mode("overwrite").parquet(f"{path}/generations/generation={generation}")
     pointer = spark.createDataFrame([(generation,)], "generation string").withColumn("published_at", F.current_timestamp())
     pointer.coalesce(1).write.mode("append").parquet(f"{path}/pointer")
 
 
+def _current_generation(spark: SparkSession, path: str) -> str | None:
+    try:
+        pointers = spark.read.schema("generation string, published_at timestamp").parquet(f"{path}/pointer")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return pointers.agg(F.max_by("generation", "published_at")).first()[0]
+
+
 def published_scores(spark: SparkSession, path: str) -> DataFrame:
-    """All generations, flagged by the newest pointer."""
-    newest = spark.read.parquet(f"{path}/pointer").select(F.max_by("generation", "published_at")).scalar()
-    history = spark.read.option("basePath", f"{path}/generations").parquet(f"{path}/generations")
-    return history.withColumn("is_current", F.col("generation").cast("string") == newest)
+    """All generations, flagged by the newest pointer.
+
+    The generation is a label: it is read as text, never as a number.
+    """
+    newest = _current_generation(spark, path)
+    files = spark.read.option("basePath", f"{path}/generations").option("mergeSchema", False)
+    stored = files.parquet(f"{path}/generations").schema
+    labelled = StructType([StructField("generation", StringType()) if f.name == "generation" else f for f in stored])
+    history = files.schema(labelled).parquet(f"{path}/generations")
+    return history.withColumn("is_current", F.col("generation") == F.lit(newest))
 
 
 def write_audited(df: DataFrame, path: str, audit_path: str, action: str, actor: str = "worker", detail: Column | None = None) -> int:

@@ -10,16 +10,18 @@ from wattlens.functions import safe_div
 from wattlens.session import work_path
 
 
-def file_stream(
-    spark: SparkSession, folder: str, glob: str = "*.parquet", schema=None, files_per_trigger: int | None = None
-) -> DataFrame:
-    """A stream over the Parquet files of a folder as they arrive."""
+def file_stream(spark: SparkSession, path: str, schema=None, files_per_trigger: int | None = None) -> DataFrame:
+    """A stream over a Parquet table as files arrive: a folder of part files, or a single file."""
     if schema is None:
-        schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+        schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isFile():
+        # a stream watches folders: this one shows it nothing but the file
+        reader, path = reader.option("pathGlobFilter", target.getName()), target.getParent().toString()
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(path)
 
 
 def upsert_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
