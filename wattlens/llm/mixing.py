@@ -98,7 +98,8 @@ def mix(
         .withColumn("_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("_whole") * F.col("source_size")))
     )
     named = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("_source")  # join key without nulls
-    plan = plan.select(named, "source_size", "target", "_whole", "_rest")
+    # one row per source, written once: its true size lets Spark broadcast it while it is small
+    plan = materialize(plan.select(named, "source_size", "target", "_whole", "_rest"), "plan")
     ranked = positions(
         units.select(named, "doc_id", "_key", "size"),
         [F.col("_key"), F.col("doc_id")],
