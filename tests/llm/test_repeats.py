@@ -66,4 +66,21 @@ def test_anchors_do_not_depend_on_pieces(monkeypatch):
 
 
 def test_intervals_of_a_small_array():
-    assert repeats.prefix_intervals(np.array([2, 3, 0])) == [(3, 2, 1, 2), (2, 0, 0, 2), (0, -1, 0, 3)]
+    assert repeats.prefix_intervals([2, 3, 0]) == [(3, 2, 1, 2), (2, 0, 0, 2), (0, -1, 0, 3)]
+
+
+def test_groups_repeat_each_other(spark):
+    texts = corpus(3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = repeats.repeat_occurrences(docs, 20, 6).collect()
+    groups = {}
+    for r in found:
+        data = (texts[r["doc"]] or "").encode()
+        assert 0 <= r["start"] and r["end"] <= len(data) and r["end"] - r["start"] >= 20
+        groups.setdefault(r["grp"], []).append((r["doc"], data[r["start"] : r["end"]]))
+    for occurrences in groups.values():
+        assert len(occurrences) >= 2
+    covered = {i: np.zeros(len((t or "").encode()), dtype=bool) for i, t in enumerate(texts)}
+    for r in found:
+        covered[r["doc"]][r["start"] : r["end"]] = True
+    assert [int(covered[i].sum()) for i in range(len(texts))] == [w[1] for w in naive(texts, 20)]

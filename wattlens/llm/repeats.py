@@ -84,20 +84,20 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[: n - width + 1], forward[width - 1 : n])
 
 
-def _common(rows: list[bytes]) -> np.ndarray:
+def _common(rows: list[bytes]) -> list[int]:
     """Length of the common prefix of each row with the next one."""
-    size = max(map(len, rows))
-    table = np.zeros((len(rows), size + 1), dtype=np.int16)
-    for i, row in enumerate(rows):
-        table[i, : len(row)] = np.frombuffer(row, dtype=np.uint8)
-        table[i, len(row) :] = -1 - (i % 2)  # ends differ from everything, also from each other
-    return (table[1:] != table[:-1]).argmax(axis=1)
+    out = []
+    for a, b in zip(rows, rows[1:], strict=False):
+        n = min(len(a), len(b))
+        different = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
+        out.append(n - (different.bit_length() + 7) // 8)
+    return out
 
 
-def prefix_intervals(common: np.ndarray) -> list[tuple[int, int, int, int]]:
+def prefix_intervals(common: list[int]) -> list[tuple[int, int, int, int]]:
     """Intervals (depth, parent's depth, first, last) of the common-prefix tree, by a stack scan."""
     found, stack = [], []  # stack: (depth, first)
-    for i, depth in enumerate([*common.tolist(), -1]):
+    for i, depth in enumerate([*common, -1]):
         first = i
         while stack and stack[-1][0] > depth:
             top, first = stack.pop()
@@ -118,42 +118,78 @@ def bucket_repeats(
     by_right = sorted(range(len(rights)), key=rights.__getitem__)
     reverse = [text[::-1] for text in lefts]
     by_left = sorted(range(len(lefts)), key=reverse.__getitem__)
-    left_rank = np.empty(len(lefts), dtype=np.int64)
-    left_rank[by_left] = np.arange(len(lefts))
+    left_rank = [0] * len(lefts)
+    for rank, member in enumerate(by_left):
+        left_rank[member] = rank
     left_common = _common([reverse[i] for i in by_left])
-    order, found = np.array(by_right), []
+    found = []
     for group, (depth, above, first, last) in enumerate(prefix_intervals(_common([rights[i] for i in by_right]))):
         low, high = max(lo, length - depth), min(hi, length - above - 1)
         if low > high:
             continue
-        ranks = np.sort(left_rank[order[first : last + 1]])
-        # agreement to the left of neighbours in left order: the least value between their ranks
-        agree = np.minimum.reduceat(left_common[: ranks[-1]], ranks[:-1])
-        best = np.maximum(np.append(agree, -1), np.insert(agree, 0, -1))
-        for rank, reach in zip(ranks[best >= low].tolist(), best[best >= low].tolist(), strict=True):
-            found.append((by_left[rank], low, min(high, reach), group))
+        ranks = sorted([left_rank[i] for i in by_right[first : last + 1]])
+        agree = [-1, *_gaps(left_common, ranks), -1]
+        for rank, before, after in zip(ranks, agree, agree[1:], strict=False):
+            reach = max(before, after)
+            if reach >= low:
+                found.append((by_left[rank], low, min(high, reach), group))
     return found
 
 
-def _spans(members: DataFrame, length: int) -> DataFrame:
-    """(h, c, start, end, grp): repeated byte spans relative to the anchor, bucket by bucket."""
-
-    def scan(bucket: pd.DataFrame) -> pd.DataFrame:
-        bucket = bucket.drop_duplicates(["h", "c"]).sort_values(["h", "c"], ignore_index=True)
-        lefts = [ctx[:left] for ctx, left in zip(bucket["ctx"], bucket["left"], strict=True)]
-        rights = [ctx[left:] for ctx, left in zip(bucket["ctx"], bucket["left"], strict=True)]
-        found = []
-        if len(bucket) > 1:
-            found = bucket_repeats(lefts, rights, int(bucket["lo"][0]), int(bucket["hi"][0]), length)
-        key = int(bucket["key"][0])
-        rows = [
-            (bucket["h"][i], bucket["c"][i], -last, length - first, _signed(xxh64_intdigest(f"{key} {group}")))
-            for i, first, last, group in found
-            if not bucket["done"][i]
+def _gaps(common: list[int], ranks: list[int]) -> list[int]:
+    """How far neighbours in left order agree: the least common prefix between their ranks."""
+    if len(ranks) < 64:
+        return [min(common[a:b]) for a, b in zip(ranks, ranks[1:], strict=False)]
+    return np.minimum.reduceat(np.array(common[: ranks[-1]]), ranks[:-1]).tolist()
+
+
+def joined_windows(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The same windows with touching offset ranges of a member made one, under one of their groups."""
+    out: list[tuple[int, int, int, int]] = []
+    for member, first, last, group in sorted(found):
+        if out and out[-1][0] == member and first <= out[-1][2] + 1:
+            out[-1] = (member, out[-1][1], max(last, out[-1][2]), out[-1][3])
+        else:
+            out.append((member, first, last, group))
+    return out
+
+
+def _spans(members: DataFrame, length: int, groups: bool) -> DataFrame:
+    """(h, c, start, end, grp): repeated byte spans relative to the anchor, bucket by bucket.
+
+    Most buckets are tiny, so tasks take sorted rows and cut the buckets themselves.
+    """
+    schema = ["h", "c", "start", "end", "grp"]
+
+    def scan(key: int, bucket: dict) -> list[tuple]:
+        rows = sorted(bucket.items())  # by (h, c): the order of rows does not matter
+        if len(rows) < 2:
+            return []
+        lo, hi = rows[0][1][1:3]
+        lefts = [ctx[:left] for _, (_, _, _, left, ctx) in rows]
+        rights = [ctx[left:] for _, (_, _, _, left, ctx) in rows]
+        found = bucket_repeats(lefts, rights, lo, hi, length)
+        return [
+            (*rows[i][0], -last, length - first, _signed(xxh64_intdigest(f"{key} {group}")))
+            for i, first, last, group in (found if groups else joined_windows(found))
+            if not rows[i][1][0]
         ]
-        return pd.DataFrame(rows, columns=["h", "c", "start", "end", "grp"])
 
-    return members.groupBy("key").applyInPandas(scan, "h long, c long, start int, end int, grp long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, bucket, out = None, {}, []
+        for batch in batches:
+            columns = [batch[n].tolist() for n in ("key", "h", "c", "done", "lo", "hi", "left", "ctx")]
+            for key, h, c, *member in zip(*columns, strict=True):
+                if key != current:
+                    out += scan(current, bucket)
+                    current, bucket = key, {}
+                bucket[h, c] = member
+            yield pd.DataFrame(out, columns=schema)
+            out = []
+        yield pd.DataFrame(scan(current, bucket), columns=schema)
+
+    rows = members.select("key", "h", "c", "done", "lo", "hi", "left", "ctx").repartition("key").sortWithinPartitions("key")
+    return rows.mapInPandas(run, "h long, c long, start int, end int, grp long")
 
 
 def _halve(members: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
@@ -194,10 +230,13 @@ def _halve(members: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     return settled, still.select("key", "h", "c", "done", "lo", "hi", "left", "ctx", "members")
 
 
-def repeat_occurrences(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, members: int = MEMBERS) -> DataFrame:
+def repeat_occurrences(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, members: int = MEMBERS, groups: bool = True
+) -> DataFrame:
     """(doc, digest, start, end, grp): every occurrence of a repeat, keyed by id and text hash.
 
     Spans overlap: a long repeat has several anchors. Rows with one ``grp`` repeat each other.
+    Without ``groups``, spans of one anchor that touch come as one, which is all that removal needs.
     """
     texts = _keyed(docs)
 
@@ -219,20 +258,21 @@ def repeat_occurrences(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
 
     columns = ["doc", "digest", "at", "left", "right", "h", "c"]
     anchors = materialize(
-        texts.mapInPandas(find, "doc long, digest long, at int, left int, right int, h long, c long"), "anchors"
+        texts.mapInPandas(find, "doc long, digest long, at int, left int, right int, h long, c long").withColumn(
+            "id", F.monotonically_increasing_id()
+        ),
+        "anchors",
     )
-    contexts = anchors.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"))
+    contexts = anchors.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
     buckets = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("all"))
-    repeated = contexts.join(buckets.filter("all > 1"), "h").select("h", "c", "n", "members")
+    repeated = contexts.join(buckets.filter("all > 1"), "h").select("h", "c", "id", "n", "members")
     repeated = materialize(repeated, "contexts")
 
     # one place for each different context of buckets that have more than one
     places = (
-        anchors.join(repeated.filter("members > 1"), ["h", "c"])
-        .groupBy("h", "c", "n", "members")
-        .agg(F.min(F.struct(*_KEY, "at", "left", "right")).alias("p"))
-        .groupBy(*[F.col(f"p.{k}").alias(k) for k in _KEY])
-        .agg(F.collect_list(F.struct("h", "c", "n", "members", "p.at", "p.left", "p.right")).alias("places"))
+        anchors.join(repeated.filter("members > 1").select("id", "n", "members"), "id")
+        .groupBy(*_KEY)
+        .agg(F.collect_list(F.struct("h", "c", "n", "members", "at", "left", "right")).alias("places"))
     )
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,15 +289,15 @@ def repeat_occurrences(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     sources = texts.join(places, _KEY).dropDuplicates(_KEY).select("text", "places")
     open_members = materialize(sources.mapInPandas(cut, f"{_MEMBER}, members long"), "members")
     full = repeated.filter("n > 1").select("h", "c", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.col("c").alias("grp"))
-    results = full.unionByName(_spans(open_members.filter(F.col("members") <= members), length))
+    results = full.unionByName(_spans(open_members.filter(F.col("members") <= members), length, groups))
     large = open_members.filter(F.col("members") > members)
     while not large.isEmpty():
         settled, still = _halve(large, length)
         still = materialize(still, "members")
-        settled = settled.unionByName(_spans(still.filter(F.col("members") <= members), length))
+        settled = settled.unionByName(_spans(still.filter(F.col("members") <= members), length, groups))
         results = results.unionByName(materialize(settled, "spans"))
         large = still.filter(F.col("members") > members)
-    return anchors.join(results, ["h", "c"]).select(
+    return anchors.drop("id").join(results, ["h", "c"]).select(
         *_KEY,
         (F.col("at") + F.coalesce("start", -F.col("left"))).alias("start"),
         (F.col("at") + F.coalesce("end", "right")).alias("end"),
@@ -291,7 +331,7 @@ def remove_repeats(
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "_spans", "doc", "digest")
     spans = (
-        repeat_occurrences(docs, length, gram, members)
+        repeat_occurrences(docs, length, gram, members, groups=False)
         .groupBy(*_KEY)
         .agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
     )
