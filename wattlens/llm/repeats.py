@@ -172,7 +172,7 @@ def _spans(members: DataFrame, length: int, groups: bool) -> DataFrame:
         return [
             (*rows[i][0], -last, length - first, _signed(xxh64_intdigest(f"{key} {group}")))
             for i, first, last, group in (found if groups else joined_windows(found))
-            if not rows[i][1][0]
+            if groups or not rows[i][1][0]
         ]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,7 +235,9 @@ def repeat_occurrences(
 ) -> DataFrame:
     """(doc, digest, start, end, grp): every occurrence of a repeat, keyed by id and text hash.
 
-    Spans overlap: a long repeat has several anchors. Rows with one ``grp`` repeat each other.
+    Spans overlap: a long repeat has several anchors. Rows with one ``grp`` repeat each other. In a
+    bucket that was halved, one of several equal contexts stands for all in the groups it has with
+    others; the equal ones are a group of their own.
     Without ``groups``, spans of one anchor that touch come as one, which is all that removal needs.
     """
     texts = _keyed(docs)
