@@ -30,7 +30,8 @@ BRANCH = 16
 LEAVES = 4_096  # at most
 LEAF = 512  # rows per leaf aimed at while there are fewer than LEAVES leaves
 CALIBRATION = 256  # queries with known neighbours, at most
-RECALL = 0.97
+RECALL = 0.96
+FIRST = 4  # leaves whose results set the score that rows of later leaves have to reach
 MEMBERS, QUERIES = 4_096, 1_024  # rows of a leaf, and queries on it, that one task compares
 
 
@@ -201,18 +202,39 @@ def nearest(table: DataFrame, k: int = 20, recall: float = RECALL, sample: int =
                 part = batch.iloc[at : at + QUERIES]
                 vectors = matrix(part["vector"])
                 leaves = tree.visits(np.column_stack([vectors, np.zeros(len(part))]), visits)
-                yield part.assign(leaf=leaves).explode("leaf").astype({"leaf": "int32"})
+                sizes = [len(order) for order in leaves]
+                yield pd.DataFrame(
+                    {
+                        "vec_id": np.repeat(part["vec_id"].to_numpy(), sizes),
+                        "leaf": np.concatenate(leaves).astype(np.int32),
+                        "nth": np.concatenate([np.arange(n) for n in sizes]).astype(np.int32),
+                    }
+                )
+
+    queries = placed.filter(is_query(F.col("vec_id"))).select("vec_id", "vector")
+    plan = materialize(queries.mapInPandas(walk, "vec_id long, leaf int, nth int"), "visits")
+    near = plan.filter(F.col("nth") < FIRST).join(queries, "vec_id").withColumn("least", F.lit(float("-inf")))
+    first = materialize(_ranked(_compared(near, placed, k), k), "first")
+    # a row below the k-th score of the first leaves cannot be among the k best
+    least = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    far = plan.filter(F.col("nth") >= FIRST).join(queries.join(least, "vec_id", "left"), "vec_id")
+    second = _compared(far.withColumn("least", F.coalesce("least", F.lit(float("-inf")))), placed, k)
+    found = first.select("query_id", "vec_id", "score").unionByName(second)
+    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
+
 
-    asked = placed.filter(is_query(F.col("vec_id"))).select("vec_id", "vector")
-    asked = asked.mapInPandas(walk, "vec_id long, vector array<double>, leaf int")
-    # a cell is a leaf; both of its sides are cut into blocks, and every pair of blocks is a task
+def _compared(asked: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): for every visit the k best rows of the leaf that reach ``least``.
+
+    A cell is a leaf; both of its sides are cut into blocks, and every pair of blocks is compared on its own.
+    """
     rows_in = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("mblocks"))
     asks_in = asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("qblocks"))
     blocks = materialize(rows_in.join(asks_in, "leaf"), "blocks")
     nth = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
     members = placed.join(blocks, "leaf").select("leaf", nth("mblocks").alias("mb"), each("qblocks").alias("qb"), "vec_id", "vector")
-    asking = asked.join(blocks, "leaf").select("leaf", each("mblocks").alias("mb"), nth("qblocks").alias("qb"), "vec_id", "vector")
+    asking = asked.join(blocks, "leaf").select("leaf", each("mblocks").alias("mb"), nth("qblocks").alias("qb"), "vec_id", "vector", "least")
 
     def compare(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or members.empty:
@@ -220,7 +242,7 @@ def nearest(table: DataFrame, k: int = 20, recall: float = RECALL, sample: int =
         members = members.sort_values("vec_id", ignore_index=True)
         ids, own = members["vec_id"].to_numpy(np.int64), queries["vec_id"].to_numpy(np.int64)
         scores = inner(matrix(queries["vector"]), matrix(members["vector"]))
-        scores[own[:, None] == ids[None, :]] = -np.inf
+        scores[(own[:, None] == ids[None, :]) | (scores < queries["least"].to_numpy()[:, None])] = -np.inf
         picked = top_rows(scores, ids, k)
         found = pd.DataFrame(
             {
@@ -232,5 +254,4 @@ def nearest(table: DataFrame, k: int = 20, recall: float = RECALL, sample: int =
         return found[found["score"] > -np.inf]
 
     cell = ["leaf", "mb", "qb"]
-    found = asking.groupBy(*cell).cogroup(members.groupBy(*cell)).applyInPandas(compare, "query_id long, vec_id long, score double")
-    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
+    return asking.groupBy(*cell).cogroup(members.groupBy(*cell)).applyInPandas(compare, "query_id long, vec_id long, score double")
