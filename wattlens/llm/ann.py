@@ -211,7 +211,8 @@ def nearest(table: DataFrame, k: int = 20, recall: float = RECALL, sample: int =
                     }
                 )
 
-    queries = placed.filter(is_query(F.col("vec_id"))).select("vec_id", "vector")
+    # read apart from the rows they are compared with, so that the two sides are different columns
+    queries = materialize(placed.filter(is_query(F.col("vec_id"))).select("vec_id", "vector"), "queries")
     plan = materialize(queries.mapInPandas(walk, "vec_id long, leaf int, nth int"), "visits")
     near = plan.filter(F.col("nth") < FIRST).join(queries, "vec_id").withColumn("least", F.lit(float("-inf")))
     first = materialize(_ranked(_compared(near, placed, k), k), "first")
