@@ -169,7 +169,7 @@ def test_disjoint(spark):
     a, b = spark.createDataFrame([("x",)], "ref string"), spark.createDataFrame([("x",), ("y",)], "ref string")
     with pytest.raises(ValueError, match="share"):
         lookups.assert_disjoint(a, b, "ref", 1, 2)
-    with pytest.raises(ValueError, match="earlier"):
+    with pytest.raises(ValueError, match="before"):
         lookups.assert_disjoint(a, b.filter("ref = 'y'"), "ref", 2, 2)
     lookups.assert_disjoint(a, b.filter("ref = 'y'"), "ref", 1, 2)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -172,10 +172,3 @@ def consumption_drop(baseline, latest, recent_hours: int) -> dict[str, Column]:
         "is_ntl": dropped,
         "hourly_unexplained_kwh": F.greatest(F.lit(0.0), b - l) / F.lit(float(recent_hours)),
     }
-
-
-def total_of(columns: Sequence[str]) -> Column:
-    out = F.lit(0.0)
-    for c in columns:
-        out = out + F.coalesce(F.col(c), F.lit(0.0))
-    return out

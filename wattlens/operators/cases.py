@@ -73,7 +73,7 @@ def _walk(places: pd.DataFrame) -> pd.DataFrame:
     while left.any():
         candidates = np.flatnonzero(left)
         d = _distances(lons[here], lats[here], lons[candidates], lats[candidates])
-        best = int(d.argmin())
+        best = int(np.round(d, 9).argmin())  # equal up to rounding noise: the first listed
         here = int(candidates[best])
         order.append(here)
         legs.append(float(d[best]))
@@ -90,7 +90,7 @@ def mission_routes(stops: DataFrame) -> DataFrame:
     Stops at the same place are always visited together (their distance is 0), so
     they are folded before the walk: what reaches the grouped step grows with the
     places in a mission's area, not with its stops. The walk itself is sequential
-    by nature; missions run in parallel. ``stops``: mission_id, stop_no, lon, lat;
+    by nature; missions run in parallel. A tie goes to the place listed first. ``stops``: mission_id, stop_no, lon, lat;
     stops without coordinates are left out.
     """
     places = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattlens.functions import blank_to_null, grid_status, mix_share, planar_deg_distance
@@ -147,7 +147,7 @@ def split_checks(train: DataFrame, test: DataFrame, key: str, train_as_of: int,
 
 def assert_disjoint(train: DataFrame, test: DataFrame, key: str, train_as_of: int, test_as_of: int) -> None:
     if train_as_of >= test_as_of:
-        raise ValueError("train as_of must be strictly earlier than test as_of")
+        raise ValueError("the training cut-off has to lie before the test cut-off")
     if not train.join(test, key, "left_semi").isEmpty():
         raise ValueError("train and test share customers")
 
@@ -167,8 +167,3 @@ def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     others = [c for c in snapshots.columns if c not in ("entity_type", "entity_id")]
     newest = F.max_by(F.struct(*others), F.col("as_of")).alias("_s")
     return snapshots.groupBy("entity_type", "entity_id").agg(newest).select("entity_type", "entity_id", "_s.*")
-
-
-def last_n(df: DataFrame, key: str, order: Sequence[Column], n: int) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")

@@ -19,8 +19,9 @@ from wattlens import schema as S
 from wattlens.functions import clamp01, is_test_ref, top_entries
 from wattlens.operators.features import customer_features
 from wattlens.operators.scoring import customer_components_from_ml
+from wattlens.session import materialize
 
-# Fixed texts of the model explanations.
+# Labels shown to users; the feature keys are what readers match on.
 FEATURE_LABELS = {
     "baseline_mean_kwh": "Baseline consumption",
     "recent_mean_kwh": "Recent consumption",
@@ -251,7 +252,7 @@ def customer_time_split(
 ) -> tuple[DataFrame, DataFrame]:
     """(train, test): other customers, and train features from an earlier point in time."""
     if train_as_of >= test_as_of:
-        raise ValueError("train as_of must be strictly earlier than test as_of")
+        raise ValueError("the training cut-off has to lie before the test cut-off")
     test = is_test_ref("external_ref", fraction)
     train = customer_features(readings, members, energy, technical, train_as_of).filter(~test)
     return train, customer_features(readings, members, energy, technical, test_as_of).filter(test)
@@ -260,7 +261,8 @@ def customer_time_split(
 def predict_frame(model: PipelineModel, forest: Forest, snapshots: DataFrame, reference: DataFrame | None = None, key: str = "meter_id") -> DataFrame:
     """Model probability and anomaly joined to the snapshots and composed into risk scores."""
     matrix = feature_matrix(snapshots, key)
-    anomalies = scaled_isolation(isolation_scores(forest, matrix, key), reference)
+    # written once: both the range of the scores and the scores themselves are read
+    anomalies = scaled_isolation(materialize(isolation_scores(forest, matrix, key), "isolation"), reference)
     outputs = predict_probability(model, matrix).select(key, "ml_probability").join(anomalies, key)
     return customer_components_from_ml(snapshots.join(outputs, key))
 

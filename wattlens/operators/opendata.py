@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattlens import schema as S
-from wattlens.functions import hash_unit, normalize_zip, pc4_of, postcode_lonlat, segment_key, slug
+from wattlens.functions import DEFAULT_CENTROID, PC2_CENTROIDS, hash_unit, normalize_zip, pc4_of, segment_key, slug
 from wattlens.operators.ranking import positions
 
 PROFILE_HOURS = 1440
@@ -133,6 +133,33 @@ def zip_enrich(customers: DataFrame, baselines: DataFrame) -> DataFrame:
     )
 
 
+AREA_SPREAD = {"lon": 0.16, "lat": 0.11}  # degrees over which the PC4 areas of one centre are strewn
+STREET_SPREAD = {"lon": 0.012, "lat": 0.009}  # and the streets of one PC4 area
+
+
+def approximate_positions(rows: DataFrame, postcode: str, street: str, out: str) -> DataFrame:
+    """Add ``out``, a (lon, lat) guess: the centre of the two-digit area plus two hashed offsets.
+
+    The centres are a fixed table of some fifty rows, joined by area number; areas it
+    lacks share a default centre. The first offset depends on the PC4 area, the second
+    on the full postcode and the street.
+    """
+    centres = rows.sparkSession.createDataFrame(
+        [(number, *place) for number, place in PC2_CENTROIDS.items()], "_number int, _lon double, _lat double"
+    )
+    pc4 = pc4_of(postcode)
+    near = dict(zip(("lon", "lat"), hash_unit(pc4), strict=True))
+    exact = dict(zip(("lon", "lat"), hash_unit(normalize_zip(postcode), street), strict=True))
+
+    def placed(axis: str, default: float) -> Column:
+        offsets = (near[axis] - 0.5) * AREA_SPREAD[axis], (exact[axis] - 0.5) * STREET_SPREAD[axis]
+        return F.round(F.coalesce(f"_{axis}", F.lit(default)) + offsets[0] + offsets[1], 6).alias(axis)
+
+    located = rows.withColumn("_number", F.floor(pc4.cast("int") / 100).cast("int")).join(F.broadcast(centres), "_number", "left")
+    guess = F.struct(*[placed(axis, default) for axis, default in zip(("lon", "lat"), DEFAULT_CENTROID, strict=True)])
+    return located.withColumn(out, guess).drop("_number", "_lon", "_lat")
+
+
 def geocode(rows: DataFrame, lookup: DataFrame) -> DataFrame:
     """Coordinates by full postcode, then street and city, then PC4, else the hashed position.
 
@@ -146,18 +173,17 @@ def geocode(rows: DataFrame, lookup: DataFrame) -> DataFrame:
 
     pc = normalize_zip("postcode")
     street = F.concat_ws(" ", "street", "city")
-    lon, lat = postcode_lonlat("postcode", "street")
-    hashed = F.struct(lon.alias("lon"), lat.alias("lat"))
     # Only a 6-character postcode is looked up in full; only four digits count as PC4.
     full = F.when(F.length(pc) >= 6, pc)
     area = F.when(F.substring(pc, 1, 4).rlike("^[0-9]{4}$"), F.substring(pc, 1, 4))
     found = F.coalesce("_p_at", "_s_at", "_a_at")
     joined = (
-        rows.join(side("postcode", "p"), full == F.col("_p"), "left")
+        approximate_positions(rows, "postcode", "street", "_guess")
+        .join(side("postcode", "p"), full == F.col("_p"), "left")
         .join(side("street", "s"), street == F.col("_s"), "left")
         .join(side("pc4", "a"), area == F.col("_a"), "left")
         .withColumn("_hit", found)
-        .withColumn("_at", F.coalesce("_hit", hashed))
+        .withColumn("_at", F.coalesce("_hit", "_guess"))
     )
     return joined.select(
         *rows.columns,

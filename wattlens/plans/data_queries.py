@@ -442,8 +442,8 @@ _LONLAT = f"""SELECT id, round(coalesce(z.lon, 4.48e0) + ({_u32("pc4", 1)} / 429
 
 @query("f24_postcode_lonlat", _LONLAT)
 def f24(spark, d):
-    lon, lat = fn.postcode_lonlat("zipcode", "external_ref")
-    return Grid(spark, d).customers.select("id", lon.alias("lon"), lat.alias("lat"))
+    people = Grid(spark, d).customers.select("id", "zipcode", "external_ref")
+    return od.approximate_positions(people, "zipcode", "external_ref", "at").select("id", "at.lon", "at.lat")
 
 
 @query("f25_hour_bucket", "SELECT event_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour FROM events")

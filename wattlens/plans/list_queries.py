@@ -637,7 +637,24 @@ def _stops(g: Grid):
     return g.cases.select("mission_id", F.col("case_id").alias("stop_no"), "customer_id").join(people, "customer_id", "left")
 
 
-@query("r1_mission_routes")
+_ROUTES = """WITH RECURSIVE places AS (
+        SELECT mission_id, lon, lat, min(case_id) AS first_stop FROM v_cases c JOIN v_customers p ON p.id = c.customer_id GROUP BY 1, 2, 3),
+      walk AS (
+        SELECT mission_id, lon, lat, [first_stop] AS seen, 0e0 AS km FROM places
+        QUALIFY row_number() OVER (PARTITION BY mission_id ORDER BY first_stop) = 1
+        UNION ALL
+        SELECT mission_id, lon, lat, seen, km FROM (
+          SELECT w.mission_id, p.lon, p.lat, list_append(w.seen, p.first_stop) AS seen, w.km + leg AS km,
+                 row_number() OVER (PARTITION BY w.mission_id ORDER BY round(leg, 9), p.first_stop) AS rn
+          FROM walk w JOIN places p ON p.mission_id = w.mission_id AND NOT list_contains(w.seen, p.first_stop),
+          LATERAL (SELECT 2 * 6371e0 * asin(sqrt(pow(sin(radians(p.lat - w.lat) / 2), 2)
+                     + cos(radians(w.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - w.lon) / 2), 2))) AS leg) g)
+        WHERE rn = 1)
+      SELECT m.mission_id, round(coalesce(max(km), 0e0), 3) AS total_distance_km, CAST(coalesce(max(len(seen)), 0) AS INTEGER) AS places
+      FROM (SELECT DISTINCT mission_id FROM v_cases) m LEFT JOIN walk USING (mission_id) GROUP BY 1"""
+
+
+@query("r1_mission_routes", _ROUTES)
 def r1(spark, d):
     g = Grid(spark, d)
     routes = cs.mission_routes(_stops(g))
@@ -658,7 +675,7 @@ def r2(spark, d):
 
     g = Grid(spark, d)
     people = g.customers.withColumn("incident", F.when(F.col("is_ntl"), "partial_bypass"))
-    totals = transformer_totals(g.readings, g.meters, g.energy, g.technical)
+    totals = transformer_totals(g.stored, g.meters, *g.fed)
     return cs.verify_invariants(g.scores, people, totals)
 
 

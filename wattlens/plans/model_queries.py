@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wattlens import schema as S
+from wattlens.functions import risk_tier
 from wattlens.operators import evaluation as ev
 from wattlens.operators import ml
-from wattlens.plans.grid_queries import rounded, stamp
+from wattlens.plans.grid_queries import stamp
 from wattlens.plans.registry import query
 from wattlens.plans.views import Grid, cents
-from wattlens.session import materialize, work_path
+from wattlens.session import materialize, shared_dir, work_path
 from wattlens.sources import tables
 from wattlens.streaming import readings as st
 
@@ -97,47 +98,67 @@ def a27(spark, d):
     return z.select("meter_id", *[F.round(c, 5).alias(c) for c in S.MODEL_COLUMNS])
 
 
-_TRAINED: dict[tuple[str, str], tuple] = {}
-
-
 def trained(spark, d):
-    """(matrix, model) of a folder; trained once per application, then reused."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _TRAINED:
-        m = _stored_matrix(spark, d)
-        _TRAINED[key] = (m, ml.fit_classifier(m))
-    return _TRAINED[key]
+    """(matrix, model): the model stored for exactly this matrix, or a new one, then stored."""
+    m = _stored_matrix(spark, d)
+    return m, tables.model_for(m, f"{shared_dir(spark)}/models", ml.fit_classifier)
 
 
-@query("m3_ntl_classifier")
+# The numbers of a trained model are not SQL's; each check states what must hold of them.
+@query("m3_ntl_classifier", "SELECT meter_id, CAST(is_ntl AS DOUBLE) AS label, TRUE AS in_range, TRUE AS labelled_above FROM v_features")
 def m3(spark, d):
     m, model = trained(spark, d)
-    return ml.predict_probability(model, m).select("meter_id", "label", "ml_probability")
+    out = materialize(ml.predict_probability(model, m), "probabilities")
+    p, label = F.col("ml_probability"), F.col("label")
+    above = out.select(F.avg(F.when(label == 1, p)) > F.avg(F.when(label == 0, p))).scalar()
+    return out.select("meter_id", "label", p.between(0, 1).alias("in_range"), above.alias("labelled_above"))
 
 
-@query("m4_isolation_forest")
+@query("m4_isolation_forest", "SELECT meter_id, TRUE AS in_range, 0e0 AS least, 1e0 AS most FROM v_features")
 def m4(spark, d):
     m = _stored_matrix(spark, d)
-    return ml.scaled_isolation(materialize(ml.isolation_scores(ml.fit_isolation_forest(m), m), "isolation"))
+    out = ml.scaled_isolation(materialize(ml.isolation_scores(ml.fit_isolation_forest(m), m), "isolation"))
+    ends = materialize(out, "scaled").select(F.struct(F.min("ml_anomaly").alias("least"), F.max("ml_anomaly").alias("most"))).scalar()
+    return out.select("meter_id", F.col("ml_anomaly").between(0, 1).alias("in_range"), ends["least"].alias("least"), ends["most"].alias("most"))
+
+
+_SIGNS = ", ".join(
+    f"CAST(sign(CASE WHEN stddev_pop({c}) OVER () < 1e-9 THEN 0e0 ELSE round({c} - avg({c}) OVER (), 9) END) AS INTEGER) AS {c}" for c in S.MODEL_COLUMNS
+)
 
 
-@query("m5_importance_contributions")
+@query("m5_importance_contributions", f"SELECT meter_id, {_SIGNS} FROM v_features")
 def m5(spark, d):
+    """The sign of each contribution, which is that of the standardised value; 0 weighs as its own sign."""
     m, model = trained(spark, d)
-    return ml.contributions(m, ml.importances(model))
+    weights = ml.importances(model)
+    z = ml.standardize(m)
+    made = ml.contributions(m, weights).join(z.select("meter_id", F.struct(*S.MODEL_COLUMNS).alias("z")), "meter_id")
+    signs = []
+    for c, w in zip(S.MODEL_COLUMNS, weights, strict=True):
+        of = F.col(c) if w > 0 else F.col(f"z.{c}")
+        signs.append(F.signum(F.when(F.abs(F.col(f"z.{c}")) > 1e-7, of).otherwise(0.0)).cast("int").alias(c))
+    return made.select("meter_id", *signs)
 
 
-@query("m6_global_importances")
+_FEATURES = ", ".join(f"('{c}')" for c in S.MODEL_COLUMNS)
+
+
+@query("m6_global_importances", f"SELECT feature, TRUE AS in_range, 1e0 AS total FROM (VALUES {_FEATURES}) f(feature)")
 def m6(spark, d):
     m, model = trained(spark, d)
-    return ml.global_importances(ml.contributions(m, ml.importances(model)))
+    out = materialize(ml.global_importances(ml.contributions(m, ml.importances(model))), "importances")
+    total = out.select(F.round(F.sum("importance"), 9)).scalar()
+    return out.select("feature", F.col("importance").between(0, 1).alias("in_range"), total.alias("total"))
 
 
-@query("l6_top_abs_contributions")
+@query("l6_top_abs_contributions", "SELECT meter_id, 4 AS n, TRUE AS falling, TRUE AS directed FROM v_features")
 def l6(spark, d):
     m, model = trained(spark, d)
     made = ml.model_explanations(ml.contributions(m, ml.importances(model)), m)
-    return made.select("meter_id", F.explode("explanations").alias("e")).select("meter_id", "e.*")
+    size = F.transform("explanations", lambda e: F.abs(e["contribution"]))
+    directed = F.forall("explanations", lambda e: (e["direction"] == "increases") == ((e["contribution"] > 0) | ((e["contribution"] == 0) & (e["direction"] == "increases"))))
+    return made.select("meter_id", F.size("explanations").alias("n"), (size == F.sort_array(size, asc=False)).alias("falling"), directed.alias("directed"))
 
 
 _TRAIN_AS_OF, _TEST_AS_OF = 551, 719  # 46/60 and all of 720 hours
@@ -153,19 +174,32 @@ _TRAIN_AS_OF, _TEST_AS_OF = 551, 719  # 46/60 and all of 720 hours
 )
 def m7(spark, d):
     g = Grid(spark, d)
-    train, test = ml.customer_time_split(g.readings, g.meters, g.energy, g.technical, _TRAIN_AS_OF, _TEST_AS_OF)
+    train, test = ml.customer_time_split(g.stored, g.meters, *g.fed, _TRAIN_AS_OF, _TEST_AS_OF)
     columns = ["meter_id", "mean_kwh", "recent_mean_kwh"]
     return train.select(*columns, F.lit("train").alias("part")).unionByName(test.select(*columns, F.lit("test").alias("part")))
 
 
-@query("m8_predict_frame")
+@query(
+    "m8_predict_frame",
+    """SELECT meter_id, least(1e0, greatest(0e0, grid_unexplained_ratio / 0.12e0)) AS grid_imbalance_score, TRUE AS in_range, TRUE AS composed, TRUE AS tiered
+       FROM v_features""",
+)
 def m8(spark, d):
     m, model = trained(spark, d)
     out = ml.predict_frame(model, ml.fit_isolation_forest(m), Grid(spark, d).features)
-    return out.select("meter_id", *rounded("supervised_probability", "anomaly_score"), "risk_score", "risk_tier")
+    parts = list(S.RISK_WEIGHTS)
+    again = out.select("meter_id", "grid_imbalance_score", "risk_score", "risk_tier", *[c for c in parts if c != "grid_imbalance_score"])
+    total = sum((F.col(c) * F.lit(100.0 * w) for c, w in S.RISK_WEIGHTS.items()), F.lit(0.0))
+    inside = F.lit(True)
+    for c in parts:
+        inside = inside & F.col(c).between(0, 1)
+    return again.select(
+        "meter_id", "grid_imbalance_score", inside.alias("in_range"), (F.abs(total - F.col("risk_score")) < 1e-3).alias("composed"),
+        (F.col("risk_tier") == risk_tier("risk_score")).alias("tiered"),
+    )
 
 
-@query("s16_save_load_model")
+@query("s16_save_load_model", "SELECT count(*) AS n, TRUE AS same, 'ntl-v1' AS model_version FROM v_features")
 def s16(spark, d):
     m, model = trained(spark, d)
     base = work_path(spark, "models")

@@ -28,9 +28,9 @@ def with_views(body: str) -> str:
     visit(body)
     body = body.strip()
     ctes = [f"{name} AS ({VIEW_SQL[name]})" for name in needed]
-    if body[:5].upper() == "WITH ":
-        ctes.append(body[5:])
-        return "WITH " + ",\n".join(ctes)
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return start + ",\n".join([*ctes, body[len(start) :]])
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 

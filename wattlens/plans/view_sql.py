@@ -103,7 +103,7 @@ VIEW_SQL = {
                round(load_kwh * 0.04e0, 6) AS estimated_technical_loss_kwh
         FROM v_load WHERE transformer_id IS NOT NULL""",
     "v_cases": """
-        SELECT o_orderkey AS case_id, o_orderpriority AS mission_id, o_custkey AS customer_id,
+        SELECT o_orderkey AS case_id, o_orderpriority || '-' || (o_orderkey // 500) AS mission_id, o_custkey AS customer_id,
                CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'P' THEN 'dismissed' ELSE 'queued' END AS status,
                o_orderdate AS created_at
         FROM orders""",

@@ -16,6 +16,11 @@ def cents(column: str) -> F.Column:
     return F.round(F.col(column) * 100).cast("bigint")
 
 
+def _with_unexplained(readings: DataFrame) -> DataFrame:
+    estimated = F.col("reading_quality") == "estimated"
+    return readings.withColumn("unexplained_kwh", F.when(estimated, F.col("consumption_kwh")).otherwise(0.0))
+
+
 class Grid:
     """The grid tables; a view is built when a query first names it.
 
@@ -185,10 +190,7 @@ class Grid:
     def load(self) -> DataFrame:
         from wattlens.operators.balance import transformer_hourly_load
 
-        r = self.readings.withColumn(
-            "unexplained_kwh", F.when(F.col("reading_quality") == "estimated", F.col("consumption_kwh")).otherwise(0.0)
-        )
-        return transformer_hourly_load(r, self.customers)
+        return transformer_hourly_load(_with_unexplained(self.readings), self.customers)
 
     @cached_property
     def energy(self) -> DataFrame:
@@ -202,6 +204,24 @@ class Grid:
 
         return derive_technical_loss(self.load)
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The hourly readings as a stage table: the scoring chain reads this, not the events, several times."""
+        return materialize(self.readings, "readings")
+
+    @cached_property
+    def stored_load(self) -> DataFrame:
+        from wattlens.operators.balance import transformer_hourly_load
+
+        return materialize(transformer_hourly_load(_with_unexplained(self.stored), self.customers), "load")
+
+    @cached_property
+    def fed(self) -> tuple[DataFrame, DataFrame]:
+        """(energy, technical loss) from the stored load."""
+        from wattlens.operators.balance import derive_asset_energy, derive_technical_loss
+
+        return derive_asset_energy(self.stored_load), derive_technical_loss(self.stored_load)
+
     @cached_property
     def cases(self) -> DataFrame:
         status = (
@@ -211,7 +231,7 @@ class Grid:
         )
         return self.table("orders").select(
             F.col("o_orderkey").alias("case_id"),
-            F.col("o_orderpriority").alias("mission_id"),
+            F.concat_ws("-", "o_orderpriority", F.floor(F.col("o_orderkey") / 500)).alias("mission_id"),
             F.col("o_custkey").alias("customer_id"),
             status.alias("status"),
             F.col("o_orderdate").cast("timestamp").alias("created_at"),
@@ -227,20 +247,20 @@ class Grid:
         """Feature snapshots: a stored table, as scoring and transformer features both read it."""
         from wattlens.operators.features import customer_features
 
-        return materialize(customer_features(self.readings, self.meters, self.energy, self.technical), "snapshots")
+        return materialize(customer_features(self.stored, self.meters, *self.fed), "snapshots")
 
     @cached_property
     def transformer_features(self) -> DataFrame:
         from wattlens.operators.features import transformer_features, transformer_totals
 
-        totals = transformer_totals(self.readings, self.meters, self.energy, self.technical)
+        totals = transformer_totals(self.stored, self.meters, *self.fed)
         return transformer_features(self.features, totals)
 
     @cached_property
     def olap(self) -> DataFrame:
         from wattlens.operators.olap import customer_window_features
 
-        return customer_window_features(self.readings, self.customers)
+        return customer_window_features(self.stored, self.customers)
 
     @cached_property
     def scoring_input(self) -> DataFrame:

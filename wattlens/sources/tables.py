@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -124,6 +124,21 @@ def load_model(spark: SparkSession, path: str, version: str) -> tuple[PipelineMo
     return PipelineModel.load(f"{base}/model"), metadata, spark.read.parquet(f"{base}/predictions")
 
 
+def model_for(matrix: DataFrame, path: str, fit: Callable[[DataFrame], PipelineModel]) -> PipelineModel:
+    """The stored model of exactly these rows, or a newly fitted one, stored under their content hash."""
+    spark = matrix.sparkSession
+    n, mark = matrix.agg(F.count(F.lit(1)), F.expr(f"bit_xor(xxhash64({', '.join(matrix.columns)}))")).first()
+    stored = f"{path}/{n}-{(mark or 0) & (1 << 64) - 1:016x}"
+    try:
+        return PipelineModel.load(stored)
+    except Exception as e:  # the loader has no error of its own for an absent model
+        if "exist" not in str(e):
+            raise
+    model = fit(matrix)
+    model.write().overwrite().save(stored)
+    return model
+
+
 def register_model(models: DataFrame, entry: DataFrame) -> DataFrame:
     """The registry with ``entry`` active, other versions inactive and its own old row gone."""
     version = F.broadcast(entry.select("model_version"))  # one row by definition
