@@ -16,6 +16,7 @@ candidates than k, all come back; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,12 @@ from wattlens.llm.vectors import bounded_sample, is_query, matrix, valid_vectors
 from wattlens.session import materialize
 
 SCALE = 64
-PIVOTS = 64  # at most; they shape the blocks, not the results
+PIVOTS = 64  # at most, and no more than it takes to fill blocks; they shape the blocks, not the results
 MEMBERS, QUERIES = 4_096, 512
 LEAF = 128  # points below which a node is not divided
+BASE = 1.3  # ratio of the scales of a node and its children
 _SLACK = 1e-9
+_KEPT = 24  # trees a task keeps at hand
 
 
 class Node:
@@ -46,13 +49,13 @@ class Node:
 
 
 def cover_tree(data: np.ndarray) -> Node:
-    """Every child's centre is a point, farther than half its parent's scale from its siblings' centres."""
+    """Every child's centre is a point, farther than the next smaller scale from its siblings' centres."""
 
     def grow(points: np.ndarray, centre: int, away: np.ndarray, scale: float) -> Node:
         node = Node(data, points, centre, away)
         if len(points) <= LEAF or node.radius == 0:
             return node
-        scale = min(scale, node.radius) / 2
+        scale = min(scale, node.radius) / BASE
         left, far, at = points, away, centre
         while len(left):
             near = far <= scale
@@ -85,13 +88,21 @@ def bound(product: float, a_length: float, a_radius: float, b_length: float, b_r
     return most + _SLACK * (abs(most) + a_length * b_length + 1)
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, start: np.ndarray, k: int):
+def search(
+    queries: np.ndarray,
+    query_ids: np.ndarray,
+    rows: np.ndarray,
+    row_ids: np.ndarray,
+    start: np.ndarray,
+    k: int,
+    trees: tuple[Node, Node] | None = None,
+):
     """(query index, row index, score) of all pairs that may be among the k best.
 
     ``start`` holds scores that each query's k-th best is known to reach.
     """
     exact = max(np.abs(queries).max(initial=0), 1) * max(np.abs(rows).max(initial=0), 1) * queries.shape[1] < 2.0**53
-    q_tree, r_tree = cover_tree(queries.astype(np.float64)), cover_tree(rows.astype(np.float64))
+    q_tree, r_tree = trees or (cover_tree(queries.astype(np.float64)), cover_tree(rows.astype(np.float64)))
     left, right = (queries.astype(np.float64), rows.astype(np.float64)) if exact else (queries, rows)
     worst = start.astype(np.float64).copy()
     best = np.full((len(queries), k), -np.inf)
@@ -163,20 +174,34 @@ def _packed(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).applyInPandas(pack, schema)
 
 
-def _searched(pairs: DataFrame, k: int) -> DataFrame:
-    """Search every (query block, row block) pair on its own."""
+def _searched(pairs: DataFrame, k: int, parts: int) -> DataFrame:
+    """Search every (query block, row block) pair. Pairs of a row block follow each other, so its tree is built once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: OrderedDict[str, Node] = OrderedDict()
+
+        def tree(name: str, data: np.ndarray) -> Node:
+            if name not in known:
+                if len(known) >= _KEPT:
+                    known.popitem(last=False)
+                known[name] = cover_tree(data.astype(np.float64))
+            known.move_to_end(name)
+            return known[name]
+
         for batch in batches:
             for pair in batch.itertuples(index=False):
                 q_ids, r_ids = np.frombuffer(pair.q_ids, np.int64), np.frombuffer(pair.r_ids, np.int64)
                 queries = np.frombuffer(pair.q_data, np.int64).reshape(len(q_ids), -1)
                 rows = np.frombuffer(pair.r_data, np.int64).reshape(len(r_ids), -1)
                 start = np.frombuffer(pair.starts, np.float64) if pair.starts else np.full(len(q_ids), -np.inf)
-                qi, ri, scores = search(queries, q_ids, rows, r_ids, start, k)
+                trees = tree(f"q{pair.q_block}", queries), tree(f"r{pair.r_block}", rows)
+                qi, ri, scores = search(queries, q_ids, rows, r_ids, start, k, trees)
                 yield pd.DataFrame({"query_id": q_ids[qi], "vec_id": r_ids[ri], "score": scores.astype(np.int64)})
 
-    return pairs.select("q_ids", "q_data", "starts", "r_ids", "r_data").mapInPandas(run, "query_id long, vec_id long, score long")
+    # at scale a row block meets many query blocks: these are dealt over several tasks, in groups
+    dealt = pairs.withColumn("_part", F.pmod(F.xxhash64("q_block"), F.lit(parts))).repartition("r_block", "_part")
+    dealt = dealt.sortWithinPartitions("r_block", "q_block")
+    return dealt.select("q_block", "r_block", "q_ids", "q_data", "starts", "r_ids", "r_data").mapInPandas(run, "query_id long, vec_id long, score long")
 
 
 def exact_top_k(table: DataFrame, k: int = 20, scale: int = SCALE) -> DataFrame:
@@ -184,7 +209,9 @@ def exact_top_k(table: DataFrame, k: int = 20, scale: int = SCALE) -> DataFrame:
     vectors = valid_vectors(table, zero=True)
     scaled = vectors.select("vec_id", F.transform("vector", lambda x: F.floor(x * scale)).alias("vector"))
     scaled = materialize(scaled, "scaled")
-    sample = bounded_sample(scaled, PIVOTS).select("vector").collect()
+    total = scaled.count()
+    parts = 1 + total // (20 * QUERIES * 64)
+    sample = bounded_sample(scaled, min(PIVOTS, -(-total // MEMBERS))).select("vector").collect()
     if not sample:
         return scaled.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     pivots = np.unique(np.array([r["vector"] for r in sample], dtype=np.float64), axis=0)
@@ -210,8 +237,8 @@ def exact_top_k(table: DataFrame, k: int = 20, scale: int = SCALE) -> DataFrame:
         "pivot", f"{side}_block", F.col("ids").alias(f"{side}_ids"), F.col("data").alias(f"{side}_data"), *more
     )
     first_queries = sides(_packed(asked, "q_block"), "q").withColumn("starts", F.lit(None).cast("binary"))
-    home = first_queries.join(sides(row_blocks, "r"), "pivot").repartition("q_block", "r_block")
-    first = materialize(_best(_searched(home, k), k), "first")
+    home = first_queries.join(sides(row_blocks, "r"), "pivot")
+    first = materialize(_best(_searched(home, k, parts), k), "first")
 
     known = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s"))
     least = known.select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("s").cast("double")).alias("least"))
@@ -233,7 +260,6 @@ def exact_top_k(table: DataFrame, k: int = 20, scale: int = SCALE) -> DataFrame:
     other = (
         pairs.join(sides(query_blocks, "q", "starts").drop("pivot"), "q_block")
         .join(sides(row_blocks, "r").drop("pivot"), "r_block")
-        .repartition("q_block", "r_block")
     )
-    second = _searched(other, k)
+    second = _searched(other, k, parts)
     return _best(first.select("query_id", "vec_id", "score").unionByName(second), k).select("query_id", "rank", "vec_id", "score")
