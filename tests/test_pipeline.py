@@ -262,20 +262,39 @@ def test_late_rows_are_dropped_and_upserts_win(spark, tmp_path):
     assert [(r.start, r.kwh) for r in hourly] == [(START, 3.0)]
 
     table, state = str(tmp_path / "t"), str(tmp_path / "c")
-    st.upsert_stream(st.file_stream(spark, src, schema=ddl), table, state).awaitTermination()
+    how = (["meter_id", "timestamp"], ["kwh"], "seq", "timestamp")
+    st.upsert_stream(st.file_stream(spark, src, schema=ddl), table, state, *how).awaitTermination()
     put([(1, START, 9.0, 4)])
-    st.upsert_stream(st.file_stream(spark, src, schema=ddl), table, state).awaitTermination()
-    rows = {r.timestamp: r.kwh for r in st.current_readings(spark, table, ["meter_id", "timestamp"], "seq").collect()}
+    st.upsert_stream(st.file_stream(spark, src, schema=ddl), table, state, *how).awaitTermination()
+    rows = {r.timestamp: r.kwh for r in spark.read.parquet(table).collect()}
     assert rows[START] == 9.0 and len(rows) == 3
-    st.compact(spark, table, ["meter_id", "timestamp"], "seq", str(tmp_path / "u"))
-    again = {r.timestamp: r.kwh for r in st.current_readings(spark, str(tmp_path / "u"), ["meter_id", "timestamp"], "seq").collect()}
-    assert again == rows
+
+
+def test_a_batch_rewrites_only_its_days(spark, tmp_path):
+    path, how = str(tmp_path / "t"), (["k"], ["v"], "seq", "at")
+    days = [START + dt.timedelta(days=i) for i in range(4)]
+
+    def rows(*of):
+        return spark.createDataFrame(list(of), "k long, at timestamp, v double, seq long")
+
+    def written():
+        return {str(f): f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("part-*")}
+
+    tables.upsert_partitions(spark, path, rows(*[(i, d, 1.0, 1) for i, d in enumerate(days)]), *how)
+    before = written()
+    for _ in range(2):
+        touched = tables.upsert_partitions(spark, path, rows((1, days[1], 2.0, 1), (1, days[1], 3.0, 2), (7, days[1], 5.0, 1)), *how)
+        assert touched == [str(days[1].date())]
+        got = {r.k: r.v for r in spark.read.parquet(path).collect()}
+        assert got == {0: 1.0, 1: 3.0, 2: 1.0, 3: 1.0, 7: 5.0}
+    after = written()
+    assert sum(after.get(name) == at for name, at in before.items()) == 3
 
 
 def test_flat_meter_raises_an_alert(spark, tmp_path):
     rows = [(m, START + dt.timedelta(hours=h), 0.0 if m else float(h % 24)) for m in (0, 1) for h in range(24 * 20)]
     spark.createDataFrame(rows, "meter_id long, timestamp timestamp, kwh double").write.parquet(str(tmp_path / "in"))
-    alerts = st.run_available(st.flatline_alerts(st.file_stream(spark, str(tmp_path / "in"))), "flat").collect()
+    alerts = st.flatline_alerts(st.run_available(st.daily_use(st.file_stream(spark, str(tmp_path / "in"))), "flat")).collect()
     assert {r.flatline for r in alerts if r.meter_id == 1} == {True}
     assert {r.flatline for r in alerts if r.meter_id == 0} == {False}
 

@@ -242,10 +242,9 @@ def t1(spark, d):
         F.col("user_id").alias("meter_id"), F.date_trunc("hour", "ts").alias("timestamp"),
         cents("value").cast("double").alias("consumption_kwh"), "event_id",
     )
-    base = work_path(spark, "upsert-stream")
-    st.upsert_stream(rows, f"{base}/table", f"{base}/state").awaitTermination()
-    merged = st.current_readings(spark, f"{base}/table", ["meter_id", "timestamp"], "event_id")
-    return merged.select("meter_id", stamp("timestamp").alias("timestamp"), "consumption_kwh")
+    base, keys = work_path(spark, "upsert-stream"), ["meter_id", "timestamp"]
+    st.upsert_stream(rows, f"{base}/table", f"{base}/state", keys, ["consumption_kwh"], "event_id", "timestamp").awaitTermination()
+    return spark.read.parquet(f"{base}/table").select("meter_id", stamp("timestamp").alias("timestamp"), "consumption_kwh")
 
 
 @query(
@@ -300,5 +299,5 @@ def t4(spark, d):
     rows = _event_stream(spark, d).select(
         F.col("ts").cast("timestamp").alias("timestamp"), F.col("user_id").alias("meter_id"), cents("value").cast("double").alias("kwh")
     )
-    alerts = st.run_available(st.flatline_alerts(rows, near_zero=500.0), "flat")
+    alerts = st.flatline_alerts(st.run_available(st.daily_use(rows, near_zero=500.0), "flat-days"))
     return alerts.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "meter_id", "n", "s", "zeros", "flatline")

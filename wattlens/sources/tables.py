@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from wattlens.session import work_path
+from wattlens.session import materialize, work_path
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], update: Sequence[str], order: str) -> DataFrame:
@@ -39,6 +39,29 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], update: Seq
     return folded.select(*keys, *columns).select(*target.columns)
 
 
+def upsert_partitions(
+    spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], update: Sequence[str], order: str, time: str
+) -> list[str]:
+    """Merge ``batch`` into the table at ``path``, which is partitioned by the date of ``time``.
+
+    Only the dates that the batch has rows for are read and written again; all other
+    partitions keep their files. Merging the same batch twice changes nothing. Returns
+    the dates, a number that the batch's span in time bounds.
+    """
+    batch = materialize(batch.withColumn("date", F.to_date(time).cast("string")), "batch")
+    dates = sorted(r["date"] for r in batch.select("date").distinct().collect())
+    schema = StructType([f for f in batch.schema if f.name != order])
+    try:
+        target = spark.read.schema(schema).parquet(path).filter(F.col("date").isin(dates))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        target = spark.createDataFrame([], schema)
+    merged = materialize(upsert(target.select(schema.names), batch, [*keys, "date"], update, order), "merged")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    return dates
+
+
 def upsert_counts(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct batch keys that are new, and that change an existing row."""
     seen = target.select(*keys).distinct().withColumn("_seen", F.lit(True))

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wattlens.functions import safe_div
 from wattlens.session import work_path
+from wattlens.sources.tables import upsert_partitions
 
 
 def file_stream(spark: SparkSession, path: str, schema=None, files_per_trigger: int | None = None) -> DataFrame:
@@ -24,34 +25,24 @@ def file_stream(spark: SparkSession, path: str, schema=None, files_per_trigger:
     return reader.parquet(path)
 
 
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Log each micro-batch under its own id; a repeated batch overwrites itself.
+def upsert_stream(
+    stream: DataFrame, path: str, checkpoint: str, keys: list[str], update: list[str], order: str, time: str
+) -> StreamingQuery:
+    """Merge each micro-batch into the table at ``path``, rewriting only the dates it touches.
 
-    Plain Parquet has no merge, and rewriting the whole table per batch would grow
-    with history. Batches are therefore only appended, and ``current_readings``
-    merges on read; ``compact`` folds the log from time to time.
+    The newest row by ``order`` wins within a batch, a later batch over an earlier
+    one. A batch that is run again after a failure merges to the same rows.
     """
 
-    def log(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/log/batch_id={batch_id}")
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            upsert_partitions(batch.sparkSession, path, batch, keys, update, order, time)
 
     return (
-        stream.writeStream.foreachBatch(log).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def current_readings(spark: SparkSession, path: str, keys: list[str], order: str) -> DataFrame:
-    """The latest row per key over all logged batches."""
-    log = spark.read.option("basePath", f"{path}/log").parquet(f"{path}/log")
-    rest = [c for c in log.columns if c not in (*keys, "batch_id")]
-    newest = F.max_by(F.struct(*rest), F.struct("batch_id", order)).alias("_r")
-    return log.groupBy(*keys).agg(newest).select(*keys, "_r.*")
-
-
-def compact(spark: SparkSession, path: str, keys: list[str], order: str, out: str) -> None:
-    current_readings(spark, path, keys, order).write.mode("errorifexists").parquet(f"{out}/log/batch_id=-1")
-
-
 def windowed_sum(stream: DataFrame, time: str, value: str, width: str, delay: str, keys: list[str] | None = None, out: str = "total") -> DataFrame:
     """Tumbling sums; a window is emitted once the watermark has passed its end."""
     return (
@@ -73,20 +64,40 @@ def daily_side(stream: DataFrame, time: str, value: str, delay: str = "1 day") -
     return windowed_sum(stream, time, value, "1 day", delay, out="kwh")
 
 
-def flatline_alerts(
+def daily_use(
     stream: DataFrame, time: str = "timestamp", value: str = "kwh", key: str = "meter_id", near_zero: float = 0.05, delay: str = "1 day"
 ) -> DataFrame:
-    """Sliding 14-day statistics per meter and whether the meter reads flat near zero."""
+    """Per meter and day: readings, sum, sum of squares and near-zero readings."""
     v = F.col(value)
-    n = F.col("n")
-    spread = F.greatest(n * F.col("q") - F.col("s") * F.col("s"), F.lit(0.0))
-    flat = (safe_div(F.sqrt(spread) / n, F.col("s") / n) < 0.05) & (F.col("zeros") / n > 0.8)
     return (
         stream.withColumn(time, F.col(time).cast("timestamp"))
         .withWatermark(time, delay)
-        .groupBy(F.window(time, "14 days", "1 day").alias("w"), key)
+        .groupBy(F.window(time, "1 day").alias("w"), key)
         .agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.count_if(v < near_zero).alias("zeros"))
-        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n", "s", "zeros", flat.alias("flatline"))
+        .select(F.col("w.start").alias("day"), key, "n", "s", "q", "zeros")
+    )
+
+
+def flatline_alerts(daily: DataFrame, key: str = "meter_id", days: int = 14) -> DataFrame:
+    """Statistics per meter over every ``days`` days in a row, and whether it reads flat near zero.
+
+    ``daily`` holds the finished days of ``daily_use``: a reading is folded into one
+    daily row in the stream, and only daily rows are laid over the windows they lie
+    in. Windows that reach beyond the last finished day are left for later.
+    """
+    one_day = F.expr("INTERVAL 1 DAY")
+    last = daily.select(F.max("day")).scalar() + one_day
+    starts = F.sequence(F.col("day") - F.expr(f"INTERVAL {days - 1} DAYS"), F.col("day"), one_day)
+    n = F.col("n")
+    spread = F.greatest(n * F.col("q") - F.col("s") * F.col("s"), F.lit(0.0))
+    flat = (safe_div(F.sqrt(spread) / n, F.col("s") / n) < 0.05) & (F.col("zeros") / n > 0.8)
+    end = F.col("start") + F.expr(f"INTERVAL {days} DAYS")
+    return (
+        daily.withColumn("start", F.explode(starts))
+        .filter(end <= last)
+        .groupBy("start", key)
+        .agg(*[F.sum(c).alias(c) for c in ("n", "s", "q", "zeros")])
+        .select("start", end.alias("end"), key, "n", "s", "zeros", flat.alias("flatline"))
     )
 
 
