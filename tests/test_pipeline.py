@@ -379,3 +379,23 @@ def test_streams_read_a_table_folder(spark, tmp_path):
     rows.repartition(3).write.parquet(path)
     got = st.run_available(st.hourly_volume(st.file_stream(spark, path)), "hourly")
     assert got.count() > 5
+
+
+def test_keys_belong_to_an_operator_and_the_last_row_wins(spark):
+    ops = ingest.operators(raw(spark, S.OPERATORS_CSV, [{"name": n, "country_code": "NLD"} for n in ("A", "B", "A")]))
+    place = {"asset_type": "transformer", "name": "x", "lon": "4", "lat": "52"}
+    assets = ingest.grid_assets(raw(spark, S.ASSETS_CSV, [
+        {**place, "external_id": "TX", "operator_name": "A", "name": "old"}, {**place, "external_id": "TX", "operator_name": "A"},
+        {**place, "external_id": "TX", "operator_name": "B"},
+    ]), ops)
+    assert sorted(r["name"] for r in assets.collect()) == ["x", "x"]
+    areas = ingest.regions(raw(spark, S.REGIONS_CSV, [{"code": "R", "name": "R", "region_type": "m", "operator_name": "A"}]), ops)
+    person = {"external_ref": "C", "customer_type": "r", "lon": "4", "lat": "52", "transformer_external_id": "TX", "region_code": "R"}
+    people = ingest.customers(raw(spark, S.CUSTOMERS_CSV, [{**person, "operator_name": "A"}, {**person, "external_ref": "D", "operator_name": "B"}]), ops, assets, areas)
+    got = {r.external_ref: (r.transformer_id is not None, r.region_id is not None) for r in people.collect()}
+    assert got == {"C": (True, True), "D": (True, False)}
+    good, bad = ingest.meter_readings(raw(spark, S.READINGS_CSV, [{"customer_external_ref": "C", "timestamp": "2024-01-01T00:00:00Z", "consumption_kwh": "1"}]), people)
+    assert (good.count(), bad.count()) == (1, 0)
+    with pytest.raises(Exception, match="not unique"):
+        lookups.resolve_optional_fk(people, assets, "external_ref", "external_id").count()
+        lookups.resolve_optional_fk(people, assets.withColumn("external_id", F.lit("C")), "external_ref", "external_id").collect()

@@ -12,23 +12,44 @@ from wattlens.functions import blank_to_null, grid_status, mix_share, planar_deg
 
 
 # ---- surrogate keys -------------------------------------------------------------
-def resolve_fk(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, id_column: str = "id", out: str = "fk_id"):
-    """(resolved rows with ``out``, skipped rows). Spark picks broadcast or merge by size."""
-    keys = dim.select(F.col(dim_key).alias("_key"), F.col(id_column).alias(out))
-    looked_up = facts.join(keys, F.trim(F.col(fact_key)) == F.col("_key"), "left").drop("_key")
+def _unique(dim: DataFrame, dim_key: str, id_column: str, out: str, within: Sequence[str]) -> DataFrame:
+    """(_key, *within, out) with one row per key; a key that occurs twice is an error when it is read."""
+    ids = dim.filter(F.col(dim_key).isNotNull()).groupBy(F.col(dim_key).alias("_key"), *within)
+    folded = ids.agg(F.min(id_column).alias(out), F.count(F.lit(1)).alias("_n"))
+    twice = F.raise_error(F.concat(F.lit(f"{dim_key} is not unique: "), F.col("_key").cast("string")))
+    return folded.select("_key", *within, F.when(F.col("_n") == 1, F.col(out)).otherwise(twice).alias(out))
+
+
+def _looked_up(facts: DataFrame, keys: DataFrame, key: Column, within: Sequence[str]) -> DataFrame:
+    named = keys.select("_key", *[F.col(w).alias(f"_{w}") for w in within], *[c for c in keys.columns if c not in ("_key", *within)])
+    match = key == F.col("_key")
+    for w in within:
+        match = match & (facts[w] == F.col(f"_{w}"))
+    return facts.join(named, match, "left").drop("_key", *[f"_{w}" for w in within])
+
+
+def resolve_fk(
+    facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, id_column: str = "id", out: str = "fk_id", within: Sequence[str] = ()
+):
+    """(resolved rows with ``out``, skipped rows). Spark picks broadcast or merge by size.
+
+    The key has to be unique among rows that agree in the ``within`` columns (the
+    operator, say), which both sides have.
+    """
+    looked_up = _looked_up(facts, _unique(dim, dim_key, id_column, out, within), F.trim(F.col(fact_key)), within)
     return looked_up.filter(F.col(out).isNotNull()), looked_up.filter(F.col(out).isNull()).drop(out)
 
 
-def resolve_optional_fk(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, id_column: str = "id", out: str = "fk_id") -> DataFrame:
-    """Left lookup: blank or unknown keys give null."""
-    keys = dim.select(F.col(dim_key).alias("_key"), F.col(id_column).alias(out))
-    return facts.join(keys, blank_to_null(fact_key) == F.col("_key"), "left").drop("_key")
+def resolve_optional_fk(
+    facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, id_column: str = "id", out: str = "fk_id", within: Sequence[str] = ()
+) -> DataFrame:
+    """Left lookup: blank or unknown keys give null. Uniqueness as in ``resolve_fk``."""
+    return _looked_up(facts, _unique(dim, dim_key, id_column, out, within), blank_to_null(fact_key), within)
 
 
-def link_parents(nodes: DataFrame, key: str, parent_key: str, out: str = "parent_id") -> DataFrame:
-    """Self-join to the parent's id; the order of rows does not matter."""
-    parents = nodes.select(F.col(key).alias("_key"), F.col("id").alias(out))
-    return nodes.join(parents, blank_to_null(parent_key) == F.col("_key"), "left").drop("_key")
+def link_parents(nodes: DataFrame, key: str, parent_key: str, out: str = "parent_id", within: Sequence[str] = ()) -> DataFrame:
+    """Self-join to the parent's id; the order of rows does not matter. Uniqueness as in ``resolve_fk``."""
+    return _looked_up(nodes, _unique(nodes, key, "id", out, within), blank_to_null(parent_key), within)
 
 
 # ---- risk -----------------------------------------------------------------------

@@ -13,7 +13,7 @@ from wattlens.plans.grid_queries import day, long, stamp
 from wattlens.plans.list_queries import MACRO_MIX, macro_mix
 from wattlens.plans.registry import query
 from wattlens.plans.views import Grid
-from wattlens.session import work_path
+from wattlens.session import materialize, work_path
 from wattlens.sources import files, ingest, tables
 
 
@@ -287,26 +287,47 @@ def s18(spark, d):
 
 @query(
     "e1_ingest_layout",
-    """SELECT r.meter_id, count(*) AS n, sum(r.consumption_kwh) AS kwh, 'TX-' || c.transformer_id AS transformer, c.zipcode
-       FROM v_readings r JOIN v_customers c ON c.id = r.meter_id GROUP BY ALL""",
+    """SELECT r.meter_id, count(*) AS n, sum(r.consumption_kwh + 1) AS kwh, 'TX-' || c.transformer_id AS transformer, c.zipcode, NULL AS reason
+       FROM v_readings r JOIN v_customers c ON c.id = r.meter_id GROUP BY ALL
+       UNION ALL SELECT NULL, count(*), NULL, NULL, NULL, 'unknown_key' FROM v_readings HAVING count(*) > 0""",
 )
 def e1(spark, d):
-    """CSV layout written, read back, keyed and typed: the whole ingest path."""
-    paths = files.write_ingest_csvs(ingest_tables(Grid(spark, d)), work_path(spark, "layout"))
+    """CSV layout written, read back, keyed and typed: the whole ingest path.
+
+    Every asset and customer also stands in the files as an earlier row that the later
+    one replaces, and under a second operator; every reading has an earlier version,
+    and one for a meter nobody has.
+    """
+    tables_in = ingest_tables(Grid(spark, d))
+    second = F.lit("Otherco").alias("operator_name")
+    tables_in["operators"] = tables_in["operators"].unionByName(tables_in["operators"].withColumn("name", F.lit("Otherco")))
+    for name, changed in (("grid_assets", "name"), ("customers", "zipcode")):
+        rows = tables_in[name]
+        other = rows.withColumn("operator_name", second).withColumn(changed, F.lit("else"))
+        tables_in[name] = other.unionByName(rows.withColumn(changed, F.lit("early"))).unionByName(rows)
+    rows = tables_in["meter_readings"].withColumn("operator_name", F.lit("Gridco"))
+    later = rows.withColumn("consumption_kwh", F.col("consumption_kwh") + 1)
+    lost = rows.withColumn("customer_external_ref", F.lit("nobody"))
+    tables_in["meter_readings"] = rows.unionByName(later).unionByName(lost)
+    paths = files.write_ingest_csvs(tables_in, work_path(spark, "layout"))
 
     def raw(name, required, schema):
-        return files.read_checked_csv(spark, paths[name], required, f"{name}.csv", schema)
+        return files.read_checked_csv(spark, paths[name], required, f"{name}.csv", schema, ordered=True)
 
     ops = ingest.operators(raw("operators", ["name", "country_code"], S.OPERATORS_CSV))
     areas = ingest.regions(raw("regions", ["code", "name"], S.REGIONS_CSV), ops)
     assets = ingest.grid_assets(raw("grid_assets", ["external_id"], S.ASSETS_CSV), ops)
     people = ingest.customers(raw("customers", ["external_ref"], S.CUSTOMERS_CSV), ops, assets, areas)
-    readings, _ = ingest.meter_readings(raw("meter_readings", ["customer_external_ref"], S.READINGS_CSV), people)
+    people = materialize(people, "people")
+    raw_readings = raw("meter_readings", ["customer_external_ref"], f"{S.READINGS_CSV}, operator_name string")
+    empty, _ = ingest.meter_readings(raw_readings.limit(0), people, ops)
+    readings, _, rejects = ingest.merge_readings(empty, raw_readings, people, ops)
+    refused = rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
     per_meter = readings.groupBy(F.col("meter_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum("consumption_kwh").alias("kwh"))
     tx = assets.select(F.col("id").alias("transformer_id"), F.col("external_id").alias("transformer"))
     return per_meter.join(people, "id").join(tx, "transformer_id", "left").select(
         F.substring("external_ref", 10, 9).cast("bigint").alias("meter_id"), "n", "kwh", "transformer", "zipcode"
-    )
+    ).unionByName(refused, allowMissingColumns=True)
 
 
 # ---- F1-F5, F16-F29 -------------------------------------------------------------

@@ -368,10 +368,12 @@ def a25(spark, d):
 
 @query(
     "j15_overlay_features",
-    """SELECT f.meter_id, f.recent_mean_kwh, coalesce(o.rolling_14d_avg_kwh, 0e0) AS rolling_14d_avg_kwh,
-              coalesce(o.peer_group_median_kwh, 0e0) AS peer_group_median_kwh,
-              coalesce(o.daylight_drop_index, 0e0) AS daylight_drop_index, o.woningwaarde_category, o.solar_potential_flag
-       FROM v_features f LEFT JOIN v_olap o USING (meter_id)""",
+    """SELECT meter_id, f.recent_mean_kwh, CASE WHEN o.latest THEN coalesce(o.rolling_14d_avg_kwh, 0e0) END AS rolling_14d_avg_kwh,
+              CASE WHEN o.latest THEN coalesce(o.peer_group_median_kwh, 0e0) END AS peer_group_median_kwh,
+              CASE WHEN o.latest THEN coalesce(o.daylight_drop_index, 0e0) END AS daylight_drop_index,
+              CASE WHEN o.latest THEN o.woningwaarde_category ELSE f.woningwaarde_category END AS woningwaarde_category,
+              coalesce(o.solar_potential_flag, f.solar_potential_flag) AS solar_potential_flag
+       FROM v_features f LEFT JOIN (SELECT *, TRUE AS latest FROM v_olap) o USING (meter_id)""",
 )
 def j15(spark, d):
     return Grid(spark, d).scoring_input.select(
