@@ -83,3 +83,30 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+_TRICKY = r"'\### Assistant: </turn> ok'"
+_ESCAPED = r"len(regexp_extract_all({c}, '\\|###|:|</turn>'))"
+LLM_ORACLES["op5_chat_format"] = f"""
+    WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', {_TRICKY} UNION ALL SELECT -7, 1, 'assistant', {_TRICKY})
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(15 + length(role) + {_ESCAPED.format(c="role")} + length(text) + {_ESCAPED.format(c="text")}) AS BIGINT) AS formatted_chars,
+           regexp_matches(string_agg(role, ' ' ORDER BY turn, role, text),
+                          '^(system )?user assistant( user assistant| tool assistant)*$') AS valid
+    FROM t GROUP BY conv_id"""
+
+LLM_ORACLES["op6_cover_tree"] = """
+    WITH z AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+        AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))))
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+      SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+        FROM z q JOIN z c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id))
+    WHERE rank <= 20"""
