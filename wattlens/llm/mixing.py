@@ -98,7 +98,7 @@ def mix(
         .withColumn("_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("_whole") * F.col("source_size")))
     )
     named = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("_source")  # join key without nulls
-    # one row per source, written once: its true size lets Spark broadcast it while it is small
+    # one row per source, written: its true size lets Spark broadcast it while it is small
     plan = materialize(plan.select(named, "source_size", "target", "_whole", "_rest"), "plan")
     ranked = positions(
         units.select(named, "doc_id", "_key", "size"),
@@ -113,7 +113,7 @@ def mix(
         .groupBy("_source")
         .agg(F.max(F.struct("_key", "doc_id")).alias("_cut"))
     )
-    plan = plan.join(cuts, "_source", "left")
+    plan = materialize(plan.join(cuts, "_source", "left"), "cuts")
     drawn = F.coalesce(F.struct("_key", "doc_id") <= F.col("_cut"), F.lit(False))
     return (
         keyed.withColumn("_source", named)

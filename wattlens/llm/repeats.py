@@ -230,16 +230,24 @@ def _halve(members: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     return settled, still.select("key", "h", "c", "done", "lo", "hi", "left", "ctx", "members")
 
 
-def repeat_occurrences(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, members: int = MEMBERS, groups: bool = True
-) -> DataFrame:
+def repeat_occurrences(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, members: int = MEMBERS) -> DataFrame:
     """(doc, digest, start, end, grp): every occurrence of a repeat, keyed by id and text hash.
 
     Spans overlap: a long repeat has several anchors. Rows with one ``grp`` repeat each other. In a
     bucket that was halved, one of several equal contexts stands for all in the groups it has with
     others; the equal ones are a group of their own.
-    Without ``groups``, spans of one anchor that touch come as one, which is all that removal needs.
     """
+    anchors, results = _repeats(docs, length, gram, members, True)
+    return anchors.join(results, ["h", "c"]).select(
+        *_KEY,
+        (F.col("at") + F.coalesce("start", -F.col("left"))).alias("start"),
+        (F.col("at") + F.coalesce("end", "right")).alias("end"),
+        "grp",
+    )
+
+
+def _repeats(docs: DataFrame, length: int, gram: int, members: int, groups: bool) -> tuple[DataFrame, DataFrame]:
+    """(anchors, repeated spans per context). A span without ends is the whole context of an anchor."""
     texts = _keyed(docs)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -299,12 +307,7 @@ def repeat_occurrences(
         settled = settled.unionByName(_spans(still.filter(F.col("members") <= members), length, groups))
         results = results.unionByName(materialize(settled, "spans"))
         large = still.filter(F.col("members") > members)
-    return anchors.drop("id").join(results, ["h", "c"]).select(
-        *_KEY,
-        (F.col("at") + F.coalesce("start", -F.col("left"))).alias("start"),
-        (F.col("at") + F.coalesce("end", "right")).alias("end"),
-        "grp",
-    )
+    return anchors.drop("id"), results
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -332,11 +335,17 @@ def remove_repeats(
     without the rest of characters that were cut in two.
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "_spans", "doc", "digest")
-    spans = (
-        repeat_occurrences(docs, length, gram, members, groups=False)
-        .groupBy(*_KEY)
-        .agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    anchors, results = _repeats(docs, length, gram, members, False)
+    # one row per context, with its few spans, before contexts meet the anchors that have them
+    folded = results.groupBy("h", "c").agg(F.collect_set(F.struct("start", "end")).alias("found"))
+    placed = F.transform(
+        "found",
+        lambda s: F.struct(
+            (F.col("at") + F.coalesce(s["start"], -F.col("left"))).alias("start"),
+            (F.col("at") + F.coalesce(s["end"], F.col("right"))).alias("end"),
+        ),
     )
+    spans = anchors.join(folded, ["h", "c"]).groupBy(*_KEY).agg(F.flatten(F.collect_list(placed)).alias("_spans"))
     others = [c for c in docs.columns if c != "text"]
 
     kind = "string" if as_text else "binary"
