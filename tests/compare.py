@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -66,15 +68,16 @@ def differences(spark_df, con, sql):
 
 
 def main(argv):
-    from wattlens.session import build_session
+    from wattlens.session import build_session, owned_stages, ship_package
 
     from wattlens.plans.catalog import ORACLES, QUERIES
 
     folder, picks = argv[0], argv[1:]
     spark = build_session(
-        "compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g"}
+        "compare", os.environ.get("COMPARE_MASTER", "local[8]"), **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="compare-")}
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     con = connect(folder)
     failed = 0
     for name, fn in QUERIES.items():
@@ -82,12 +85,12 @@ def main(argv):
             continue
         t0 = time.time()
         try:
-            df = fn(spark, folder)
-            if name in ORACLES:
-                problem = differences(df, con, ORACLES[name])
-            else:
-                n = len(df.collect())
-                problem = None if n else "no rows"
+            with owned_stages(spark):
+                df = fn(spark, folder)
+                if name in ORACLES:
+                    problem = differences(df, con, ORACLES[name])
+                else:
+                    problem = None if df.collect() else "no rows"
         except Exception as e:  # noqa: BLE001 - a report, not a handler
             problem = f"{type(e).__name__}: {str(e)[:900]}"
         failed += problem is not None

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -267,11 +267,18 @@ def predict_frame(model: PipelineModel, forest: Forest, snapshots: DataFrame, re
     return customer_components_from_ml(snapshots.join(outputs, key))
 
 
-def score_or_fallback(snapshots: DataFrame, seed: int = 42, rounds: int = 200) -> DataFrame:
-    """Trained scores when the labels suffice, else the transparent heuristic."""
+def score_or_fallback(
+    snapshots: DataFrame, seed: int = 42, rounds: int = 200, fit: Callable[[DataFrame], PipelineModel] | None = None
+) -> DataFrame:
+    """Trained scores when the labels suffice, else the transparent heuristic.
+
+    ``fit`` may bring a stored model instead of training one.
+    """
     from wattlens.operators.scoring import customer_components
 
     matrix = feature_matrix(snapshots)
     if not train_gate(matrix).first()["trainable"]:
         return customer_components(snapshots)
-    return predict_frame(fit_classifier(matrix, seed, rounds), fit_isolation_forest(matrix, seed=seed), snapshots)
+    matrix = materialize(matrix, "matrix")
+    model = fit(matrix) if fit is not None else fit_classifier(matrix, seed, rounds)
+    return predict_frame(model, fit_isolation_forest(matrix, seed=seed), snapshots)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from wattlens import schema as S
 from wattlens.functions import risk_tier
+from wattlens.functions.sequences import PEAK_FEATURE
 from wattlens.operators import evaluation as ev
-from wattlens.operators import ml
+from wattlens.operators import ml, scoring, sequences
 from wattlens.plans.grid_queries import stamp
 from wattlens.plans.registry import query
 from wattlens.plans.views import Grid, cents
@@ -212,6 +213,40 @@ def s16(spark, d):
     return same.withColumn("model_version", metadata.select("model_version").scalar())
 
 
+@query(
+    "e3_model_run",
+    """SELECT 'customer' AS entity_type, count(*) AS n, count(*) FILTER (id IN (SELECT meter_id FROM v_readings)) AS with_peaks,
+              count(DISTINCT transformer_id) AS shared, TRUE AS tiered, TRUE AS is_current, 'run-2' AS model_version FROM v_customers
+       UNION ALL SELECT 'transformer', count(DISTINCT transformer_id), 0, 0, TRUE, TRUE, 'run-2' FROM v_customers""",
+)
+def e3(spark, d):
+    """The daily run: gate, models or heuristic, sequence anomalies, shares, explanations, publishing, registry."""
+    g, base = Grid(spark, d), work_path(spark, "run")
+    stations = materialize(g.transformer_features, "transformers")
+    snapshots = materialize(g.scoring_input, "scoring-input")
+    scored = ml.score_or_fallback(snapshots, fit=lambda m: tables.model_for(m, f"{shared_dir(spark)}/models", ml.fit_classifier))
+    anomalies = materialize(sequences.sequence_anomalies(g.stored), "anomalies")
+    replaced = scoring.replace_anomaly(scored, anomalies.withColumnRenamed("meter_id", "customer_id"))
+    people = scoring.build_explanations(scoring.with_money(scoring.attribute_loss(replaced, stations)))
+    people = materialize(scoring.append_peaks(people, anomalies), "people")
+    fed = scoring.transformer_components(stations).withColumn("estimated_loss_kwh", F.greatest(F.lit(0.0), "unexplained_total_kwh"))
+    made = scoring.union_scores(people, scoring.build_explanations(scoring.with_money(fed), F.lit(1.0)), F.current_timestamp())
+    for generation in ("run-1", "run-2"):
+        tables.publish_generation(made, f"{base}/scores", generation)
+    models = spark.createDataFrame([("run-1", True)], "model_version string, is_active boolean")
+    models = tables.register_model(models, models.select(F.lit("run-2").alias("model_version")))
+    whole = people.groupBy("transformer_id").agg(F.sum("loss_attribution_share").alias("s")).filter(F.abs(F.col("s") - 1) < 1e-6)
+    peaks = F.exists("explanations", lambda e: e["feature"] == PEAK_FEATURE)
+    current = tables.published_scores(spark, f"{base}/scores").filter("is_current")
+    return current.groupBy("entity_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(peaks).alias("with_peaks"),
+        F.when(F.col("entity_type") == "customer", whole.select(F.count(F.lit(1))).scalar()).otherwise(F.lit(0)).alias("shared"),
+        F.bool_and(F.col("risk_tier") == risk_tier("risk_score")).alias("tiered"),
+        F.bool_and("is_current").alias("is_current"),
+    ).withColumn("model_version", models.filter("is_active").select("model_version").scalar())
+
+
 @query(
     "m10_register_model",
     """SELECT 'scores-' || strftime(scored_at, '%Y%m%d') AS model_version, FALSE AS is_active, 0 + count(*) AS n FROM v_scores
