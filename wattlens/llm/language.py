@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattlens.llm.terms import held_out
+from wattlens.llm.texts import in_small_batches
 
 SIZE = 1024  # components of a vector
 GRAM = 3
@@ -144,7 +145,7 @@ def learn(docs: DataFrame, size: int = SIZE) -> dict[str, np.ndarray]:
                 }
             )
 
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(4, 2)).select("lang", "text")
+    known = in_small_batches(docs).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(4, 2)).select("lang", "text")
     sums = known.mapInPandas(bundle, "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
     found: dict[str, np.ndarray] = {}
     for row in sums.collect():  # languages x vector size numbers, whatever the input
@@ -167,5 +168,5 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], size: int = SIZE
             batch["score"] = np.where(best > 0, np.clip(cosines.max(1), 0, 1), 0.0)
             yield batch[["doc_id", "held_out", "lang_pred", "score"]].astype({"doc_id": "Int64"})
 
-    rows = docs.select("doc_id", held_out(4, 2).alias("held_out"), "text")
+    rows = in_small_batches(docs).select("doc_id", held_out(4, 2).alias("held_out"), "text")
     return rows.mapInPandas(emit, "doc_id long, held_out boolean, lang_pred string, score double")

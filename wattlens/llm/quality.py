@@ -33,6 +33,7 @@ from wattlens.llm.terms import (
     term_rows,
     words,
 )
+from wattlens.llm.texts import in_small_batches
 
 SAMPLE = 20_000  # labelled documents the model is fitted on, at most
 TERMS = 2_048
@@ -156,7 +157,7 @@ def grade_documents(docs: DataFrame, model: pd.DataFrame, least: float = 0.5) ->
     ``selected`` holds where the tail probability reaches ``least``. Columns of the input with
     these names are replaced.
     """
-    docs = docs.drop("expected_grade", "tail_probability", "selected")
+    docs = in_small_batches(docs).drop("expected_grade", "tail_probability", "selected")
 
     @F.pandas_udf("expected_grade double, tail_probability double")
     def grades(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
+from wattlens.llm.texts import in_small_batches
 from wattlens.session import materialize
 
 LENGTH = 400
@@ -312,7 +313,7 @@ def _repeats(docs: DataFrame, length: int, gram: int, members: int, groups: bool
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long").alias("doc"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    return in_small_batches(docs).select(F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long").alias("doc"), F.xxhash64(text).alias("digest"), text.alias("text"))
 
 
 def merged(spans: list) -> list[tuple[int, int]]:

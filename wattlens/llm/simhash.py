@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from wattlens.llm.components import components
+from wattlens.llm.texts import in_small_batches
 from wattlens.session import materialize
 
 BITS = 64
@@ -73,7 +74,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
                 {"doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"], "fp": values.view(np.int64)}
             )
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    rows = in_small_batches(docs).select("doc_id", F.xxhash64("text").alias("digest"), "text")
     return rows.mapInPandas(emit, "doc_id long, digest long, fp long")
 
 

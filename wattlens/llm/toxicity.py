@@ -28,6 +28,7 @@ from wattlens.llm.terms import (
     term_rows,
     word_and_stem_terms,
 )
+from wattlens.llm.texts import in_small_batches
 
 SAMPLE = 20_000  # labelled documents the model is fitted on, at most
 TERMS = 8_192
@@ -111,5 +112,5 @@ def score_toxicity(docs: DataFrame, model: pd.DataFrame) -> DataFrame:
             batch["predicted"] = (batch["score"] >= 0.5).astype("int32")
             yield batch[["doc_id", "held_out", "score", "predicted"]].astype({"doc_id": "Int64"})
 
-    rows = docs.select("doc_id", held_out(5, 0).alias("held_out"), "text")
+    rows = in_small_batches(docs).select("doc_id", held_out(5, 0).alias("held_out"), "text")
     return rows.mapInPandas(emit, "doc_id long, held_out boolean, score double, predicted int")
