@@ -258,18 +258,30 @@ def s14(spark, d):
     return spark.read.parquet(f"{base}/audit").select("action", "record_count")
 
 
-@query(
-    "s15_to_geojson",
-    """SELECT c.id, '{"type":"Feature","id":' || c.id || ',"geometry":{"type":"Point","coordinates":[' || lon || ',' || lat ||
+_FEATURES = """SELECT c.id, risk_score, '{"type":"Feature","id":' || c.id || ',"geometry":{"type":"Point","coordinates":[' || lon || ',' || lat ||
               ']},"properties":{"customer_id":' || c.id || ',"external_ref":"' || external_ref || '","risk_tier":"' || risk_tier || '"}}' AS feature
        FROM v_customers c JOIN v_scores s ON s.entity_id = c.id AND s.entity_type = 'customer' AND s.is_current
-       WHERE risk_score >= 60 AND region_id = 1""",
-)
-def s15(spark, d):
-    g = Grid(spark, d)
+       WHERE risk_score >= 60 AND region_id = 1"""
+
+
+def risky_features(g: Grid):
     rows = lookups.current_risk_join(g.customers.filter("region_id = 1"), g.scores).filter("risk_score >= 60")
     rows = rows.withColumn("customer_id", F.col("id"))
-    return files.geojson_features(rows, ["customer_id", "external_ref", "risk_tier"]).select("id", "feature")
+    return files.geojson_features(rows, ["customer_id", "external_ref", "risk_tier"])
+
+
+@query("s15_to_geojson", f"SELECT id, feature FROM ({_FEATURES})")
+def s15(spark, d):
+    return risky_features(Grid(spark, d)).select("id", "feature")
+
+
+@query(
+    "s15_map_document",
+    f"""SELECT '{{"type":"FeatureCollection","features":[' || coalesce(string_agg(feature, ',' ORDER BY risk_score DESC, id), '') || ']}}' AS geojson
+        FROM (SELECT * FROM ({_FEATURES}) ORDER BY risk_score DESC, id LIMIT 200)""",
+)
+def s15_document(spark, d):
+    return files.geojson_document(risky_features(Grid(spark, d)), 200)
 
 
 @query(

@@ -723,18 +723,31 @@ def u4(spark, d):
          FROM v_scores WHERE entity_type = 'customer' GROUP BY 1)""",
 )
 def l10(spark, d):
-    runs = Grid(spark, d).scores.filter("entity_type = 'customer'").groupBy("scored_at").agg(
+    return lookups.list_models(model_runs(Grid(spark, d))).select(
+        "model_version", "is_active", F.col("metrics")["positives"].alias("positives"), F.col("metrics")["k"].alias("k")
+    )
+
+
+@query(
+    "l10_active_model",
+    """SELECT 'scores-' || strftime(max(scored_at), '%Y%m%d') AS model_version, TRUE AS is_active
+       FROM v_scores WHERE entity_type = 'customer' AND is_current""",
+)
+def l10_active(spark, d):
+    return lookups.active_model(model_runs(Grid(spark, d))).select("model_version", "is_active")
+
+
+def model_runs(g: Grid):
+    """Each scoring run as a registered model."""
+    runs = g.scores.filter("entity_type = 'customer'").groupBy("scored_at").agg(
         F.bool_and("is_current").alias("is_active"), F.count_if(F.col("risk_score") >= 50).cast("double").alias("positives")
     )
-    models = runs.select(
+    return runs.select(
         F.concat(F.lit("scores-"), F.date_format("scored_at", "yyyyMMdd")).alias("model_version"),
         "is_active",
         F.col("scored_at").alias("trained_at"),
         F.create_map(F.lit("positives"), F.col("positives")).alias("metrics"),
         F.lit(S.PRECISION_AT).alias("k"),
     )
-    return lookups.list_models(models).select(
-        "model_version", "is_active", F.col("metrics")["positives"].alias("positives"), F.col("metrics")["k"].alias("k")
-    )
 
 
