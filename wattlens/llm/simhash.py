@@ -189,13 +189,17 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
 
 
 def one_of_each(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` less near-duplicates: of each component the row with the smallest id stays.
+    """The rows of ``docs`` less near-duplicates: of each component the row with the smallest id stays."""
+    return keep_first(docs, near_duplicates(docs, width, distance))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each root in ``found`` (doc_id, digest, root) the row of ``docs`` with the smallest id.
 
     Of several rows with that id, the one with the smallest text hash stays.
     """
     key = (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long"))
     rank = F.struct(key[0].alias("none"), key[1].alias("id"), F.col("digest").alias("digest"))
-    found = near_duplicates(docs, width, distance)
     stays = found.groupBy("root").agg(F.min(rank).alias("_s")).select(*[F.col(f"_s.{k}").alias(f"_{k}") for k in ("none", "id", "digest")])
     keyed = docs.withColumns({"_none": key[0], "_id": key[1], "_digest": F.xxhash64("text")})
     names = ["_none", "_id", "_digest"]
