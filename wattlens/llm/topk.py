@@ -143,6 +143,14 @@ def search(
     return qi[keep], ri[keep], scores[keep]
 
 
+def first_of_ties(qi: np.ndarray, ri: np.ndarray, scores: np.ndarray, row_ids: np.ndarray, k: int):
+    """At most k pairs a query: among equal scores the smaller ids go on."""
+    order = np.lexsort((row_ids[ri], -scores, qi))
+    nth = np.arange(len(order)) - np.searchsorted(qi[order], qi[order])
+    order = order[nth < k]
+    return qi[order], ri[order], scores[order]
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -195,7 +203,7 @@ def _searched(pairs: DataFrame, k: int, parts: int) -> DataFrame:
                 rows = np.frombuffer(pair.r_data, np.int64).reshape(len(r_ids), -1)
                 start = np.frombuffer(pair.starts, np.float64) if pair.starts else np.full(len(q_ids), -np.inf)
                 trees = tree(f"q{pair.q_block}", queries), tree(f"r{pair.r_block}", rows)
-                qi, ri, scores = search(queries, q_ids, rows, r_ids, start, k, trees)
+                qi, ri, scores = first_of_ties(*search(queries, q_ids, rows, r_ids, start, k, trees), r_ids, k)
                 yield pd.DataFrame({"query_id": q_ids[qi], "vec_id": r_ids[ri], "score": scores.astype(np.int64)})
 
     # at scale a row block meets many query blocks: these are dealt over several tasks, in groups
