@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlens.llm import ann, chat, language, mixing, packing, quality, repeats, simhash, topk, toxicity
+from wattlens.llm import ann, chat, language, licenses, mixing, packing, quality, repeats, simhash, topk, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -85,6 +85,11 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+@_query
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.label_documents(_table(spark, sf_dir, "documents"))
+
+
 _TRICKY = r"'\### Assistant: </turn> ok'"
 _ESCAPED = r"len(regexp_extract_all({c}, '\\|###|:|</turn>'))"
 LLM_ORACLES["op5_chat_format"] = f"""
@@ -110,3 +115,29 @@ LLM_ORACLES["op6_cover_tree"] = """
         SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
         FROM z q JOIN z c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id))
     WHERE rank <= 20"""
+
+_TEMPLATES = ", ".join(
+    f"({n}, '{label}', '{text.replace(chr(39), chr(39) * 2)}', {base})"
+    for n, (label, text, base) in enumerate([(*p, True) for p in licenses.PHRASES] + [(*p, False) for p in licenses.NOTICES])
+)
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.APART.replace('[', '[^')}')"
+LLM_ORACLES["op12_license_scan"] = f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+    t AS (SELECT template, label, base, {_WORDS} AS w FROM (VALUES {_TEMPLATES}) v(template, label, text, base)),
+    s AS (SELECT *, len(w) AS n, least(len(w), {licenses.GRAM}) AS k, len(w) // 10 AS slack FROM t),
+    tg AS (SELECT template, k, tp, array_to_string(w[tp + 1 : tp + k], ' ') AS g
+           FROM (SELECT *, unnest(range(0, n - k + 1)) AS tp FROM s)),
+    dg AS (SELECT r, p, k, array_to_string(w[p + 1 : p + k], ' ') AS g
+           FROM (SELECT *, unnest([2, 3, 4]) AS k FROM (SELECT *, unnest(range(0, len(w))) AS p FROM d)) WHERE p + k <= len(w)),
+    met AS (SELECT r, template, p, tp, p - tp AS diagonal FROM dg JOIN tg USING (k, g)),
+    cut AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > slack, false) AS new
+            FROM met JOIN s USING (template)),
+    grouped AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY r, template ORDER BY diagonal) AS grp FROM cut),
+    found AS (SELECT r, template, label, base, min(p) AS p,
+                     len(list_distinct(flatten(list(range(tp, tp + k))))) / any_value(n) AS cover
+              FROM grouped GROUP BY r, template, label, base, grp HAVING cover >= if(any_value(n) >= {licenses.LONG}, {licenses.COVER}, 1.0))
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, count(p) FILTER (base) AS n_base,
+           min(p) FILTER (base) AS first_word, max(p) FILTER (base) AS last_word,
+           coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+           coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(cover), 0.0) AS score
+    FROM d LEFT JOIN found USING (r) GROUP BY r, doc_id, w"""
