@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlens.llm import ann, chat, language, licenses, mixing, packing, quality, repeats, simhash, topk, toxicity
+from wattlens.llm import ann, chat, language, licenses, mixing, packing, quality, ranked, repeats, simhash, topk, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -85,6 +85,11 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+@_query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.top_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.label_documents(_table(spark, sf_dir, "documents"))
@@ -116,6 +121,25 @@ LLM_ORACLES["op6_cover_tree"] = """
         FROM z q JOIN z c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id))
     WHERE rank <= 20"""
 
+LLM_ORACLES["op11_ranked_search"] = r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, _TERMS_ AS w FROM documents),
+    i AS (SELECT item_id, unnest(_TERMS_) AS t FROM benchmark),
+    q AS (SELECT item_id, t, count(*) AS times FROM i GROUP BY ALL),
+    size AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+    tf AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d)
+           WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+    df AS (SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w
+           FROM tf, size GROUP BY t),
+    scored AS (SELECT item_id, r, doc_id,
+                      CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+               FROM tf JOIN df USING (t) JOIN q USING (t), size GROUP BY item_id, r, doc_id HAVING score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS rank FROM scored) WHERE rank <= 20""".replace(
+    "_TERMS_",
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')",
+)
+
 _TEMPLATES = ", ".join(
     f"({n}, '{label}', '{text.replace(chr(39), chr(39) * 2)}', {base})"
     for n, (label, text, base) in enumerate([(*p, True) for p in licenses.PHRASES] + [(*p, False) for p in licenses.NOTICES])
