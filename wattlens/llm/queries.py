@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlens.llm import ann, chat, language, licenses, mixing, packing, quality, ranked, repeats, simhash, topk, toxicity
+from wattlens.llm import ann, chat, language, licenses, mixing, packing, quality, ranked, repeats, simhash, topk, toxicity, tries
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -95,6 +95,11 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.label_documents(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 _TRICKY = r"'\### Assistant: </turn> ok'"
 _ESCAPED = r"len(regexp_extract_all({c}, '\\|###|:|</turn>'))"
 LLM_ORACLES["op5_chat_format"] = f"""
@@ -165,3 +170,29 @@ LLM_ORACLES["op12_license_scan"] = f"""
            coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
            coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(cover), 0.0) AS score
     FROM d LEFT JOIN found USING (r) GROUP BY r, doc_id, w"""
+
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+    lambda crc, ch: list_reduce([xor(crc, ch), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)), 4294967295::BIGINT)"""
+LLM_ORACLES["op13_conversation_trie"] = f"""
+    WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+               FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM t),
+    r AS (SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+          UNION ALL SELECT conv_id, 1, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos > h),
+    n AS (SELECT *, row_number() OVER w AS d, strlen(text) AS bytes,
+                 md5(string_agg(md5(role) || md5(text), '') OVER w) AS key
+          FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)),
+    p AS (SELECT conv_id, d, bytes, key, lag(key, 1, 'root') OVER (PARTITION BY conv_id ORDER BY d) AS above FROM n
+          UNION ALL SELECT conv_id, 0, 0, 'root', NULL FROM c),
+    len AS (SELECT conv_id, max(d) AS last FROM p GROUP BY 1),
+    node AS (SELECT key, any_value(above) AS above, min(conv_id) AS conv_id, d AS depth, count(*) AS n_convs, any_value(bytes) AS bytes,
+                    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = last), '')) AS ends_sha256
+             FROM p JOIN len USING (conv_id) GROUP BY key, d),
+    kids AS (SELECT above AS key, count(*) AS n_children FROM node WHERE above IS NOT NULL GROUP BY 1),
+    own AS (SELECT node.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * bytes AS saved FROM node LEFT JOIN kids USING (key)),
+    below AS (SELECT DISTINCT up.key AS top, own.key, own.n_children, own.saved FROM p up JOIN p low ON up.conv_id = low.conv_id AND up.d <= low.d JOIN own ON own.key = low.key),
+    sums AS (SELECT top AS key, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM below GROUP BY 1)
+    SELECT own.conv_id, own.depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, own.ends_sha256
+    FROM own JOIN sums USING (key) LEFT JOIN own up ON up.key = own.above"""
