@@ -273,12 +273,16 @@ def _event_stream(spark, d):
               CAST(arg_max(CAST(round(value * 100) AS BIGINT), event_id) AS DOUBLE) AS consumption_kwh FROM events GROUP BY 1, 2""",
 )
 def t1(spark, d):
-    rows = _event_stream(spark, d).select(
+    """Three writes with the events dealt by a hash, one a micro-batch: most rows come after newer ones of their key."""
+    Grid(spark, d)  # pins the session to UTC
+    rows = spark.read.parquet(f"{d}/events.parquet").select(
         F.col("user_id").alias("meter_id"), F.date_trunc("hour", "ts").alias("timestamp"),
         cents("value").cast("double").alias("consumption_kwh"), "event_id",
     )
+    folder = st.arriving(rows, "arriving-events", 3)
     base, keys = work_path(spark, "upsert-stream"), ["meter_id", "timestamp"]
-    st.upsert_stream(rows, f"{base}/table", f"{base}/state", keys, ["consumption_kwh"], "event_id", "timestamp").awaitTermination()
+    stream = st.file_stream(spark, folder, files_per_trigger=1)
+    st.upsert_stream(stream, f"{base}/table", f"{base}/state", keys, ["consumption_kwh"], "event_id", "timestamp").awaitTermination()
     return spark.read.parquet(f"{base}/table").select("meter_id", stamp("timestamp").alias("timestamp"), "consumption_kwh")
 
 
@@ -305,20 +309,14 @@ _SIDE = """SELECT date_trunc('day', timestamp) AS day, sum({c}) AS v FROM v_bala
 def t3(spark, d):
     Grid(spark, d)
     price = cents("l_extendedprice")
-    sides = {
-        "energy_input_kwh": price * 100,
-        "metered_kwh": price * (100 - cents("l_discount")),
-        "technical_kwh": price * cents("l_tax"),
-    }
-    days = None
-    for name, value in sides.items():
-        rows = st.file_stream(spark, f"{d}/lineitem.parquet").select(
-            F.col("l_shipdate").cast("timestamp").alias("timestamp"), value.cast("double").alias("v")
-        )
-        side = st.run_available(st.daily_side(rows, "timestamp", "v"), "daily").select("start", F.col("kwh").alias(name))
-        days = side if days is None else days.join(side, "start", "left")
-    rest = F.col("energy_input_kwh") - F.coalesce("metered_kwh", F.lit(0.0)) - F.coalesce("technical_kwh", F.lit(0.0))
-    return days.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "energy_input_kwh", rest.alias("unexplained_kwh"))
+    sides = {"energy": price * 100, "metered": price * (100 - cents("l_discount")), "technical": price * cents("l_tax")}
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(
+        F.col("l_shipdate").cast("timestamp").alias("timestamp"), *[v.cast("double").alias(name) for name, v in sides.items()]
+    )
+    folder = st.arriving(rows, "arriving-lines", 3, "timestamp")
+    streams = [st.file_stream(spark, folder, files_per_trigger=1).select("timestamp", F.col(name).alias("kwh")) for name in sides]
+    days = st.run_available(st.daily_balance_stream(*streams), "daily")
+    return days.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "energy_input_kwh", "unexplained_kwh")
 
 
 @query(
@@ -331,8 +329,10 @@ def t3(spark, d):
        WHERE w + INTERVAL 14 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2""",
 )
 def t4(spark, d):
-    rows = _event_stream(spark, d).select(
+    Grid(spark, d)
+    rows = spark.read.parquet(f"{d}/events.parquet").select(
         F.col("ts").cast("timestamp").alias("timestamp"), F.col("user_id").alias("meter_id"), cents("value").cast("double").alias("kwh")
     )
-    alerts = st.flatline_alerts(st.run_available(st.daily_use(rows, near_zero=500.0), "flat-days"))
+    stream = st.file_stream(spark, st.arriving(rows, "arriving-readings", 3, "timestamp"), files_per_trigger=1)
+    alerts = st.run_available(st.flatline_stream(stream, near_zero=500.0), "flat")
     return alerts.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "meter_id", "n", "s", "zeros", "flatline")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -13,7 +14,14 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_owners: list[list[str]] = []
+class _Owners(threading.local):
+    """The open ``owned_stages`` of a thread; a stream's callback runs in a thread of its own."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_owners = _Owners()
 _shipped: set[str] = set()
 
 
@@ -81,8 +89,8 @@ def ship_package(spark: SparkSession) -> None:
 def work_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder, owned by the open ``owned_stages``."""
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    if _owners:
-        _owners[-1].append(path)
+    if _owners.open:
+        _owners.open[-1].append(path)
     return path
 
 
@@ -103,11 +111,11 @@ def owned_stages(spark: SparkSession | None = None, into: list[str] | None = Non
     inside it. Without, the caller drops them later with ``drop_paths``.
     """
     paths = [] if into is None else into
-    _owners.append(paths)
+    _owners.open.append(paths)
     try:
         yield paths
     finally:
-        _owners.pop()
+        _owners.open.pop()
         if spark is not None:
             drop_paths(spark, paths)
 

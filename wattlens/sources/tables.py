@@ -13,20 +13,27 @@ from pyspark.sql.types import StringType, StructField, StructType
 from wattlens.session import materialize, work_path
 
 
-def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], update: Sequence[str], order: str) -> DataFrame:
+def upsert(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], update: Sequence[str], order: str, keep_order: bool = False
+) -> DataFrame:
     """``target`` with ``batch`` merged in; among equal keys the last by ``order`` wins.
 
+    A row of the batch wins over a stored one, unless ``keep_order``: then ``target`` holds the order
+    of its rows (a null one is the least), and an older row of the batch changes nothing.
     Only the ``update`` columns change on a match; new keys bring all their columns.
     One combining aggregate per key replaces a join and a sort, so a key that
     repeats very often is folded before it is shuffled.
     """
     rest = [c for c in target.columns if c not in keys]
-    old = target.withColumn("_new", F.lit(False)).withColumn("_ord", F.lit(None).cast(batch.schema[order].dataType))
+    kind = batch.schema[order].dataType
+    known = F.col(order).cast(kind) if keep_order else F.lit(None).cast(kind)
+    old = target.withColumn("_new", F.lit(False)).withColumn("_ord", known)
     new = batch.withColumn("_ord", F.col(order)).withColumn("_new", F.lit(True))
     if order not in target.columns:
         new = new.drop(order)
     both = old.unionByName(new, allowMissingColumns=True)
-    rank = F.struct("_new", "_ord")
+    rank = F.struct("_ord", "_new") if keep_order else F.struct("_new", "_ord")
+    update = [*update, order] if keep_order else update
     newest = F.max_by(F.struct(*rest), rank)
     kept = F.max_by(F.when(~F.col("_new"), F.struct(*rest)), F.when(~F.col("_new"), rank))
     folded = both.groupBy(*keys).agg(newest.alias("_n"), kept.alias("_k"), F.bool_or("_new").alias("_hit"))
@@ -40,24 +47,32 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], update: Seq
 
 
 def upsert_partitions(
-    spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], update: Sequence[str], order: str, time: str
+    spark: SparkSession,
+    path: str,
+    batch: DataFrame,
+    keys: Sequence[str],
+    update: Sequence[str],
+    order: str,
+    time: str,
+    keep_order: bool = False,
 ) -> list[str]:
     """Merge ``batch`` into the table at ``path``, which is partitioned by the date of ``time``.
 
     Only the dates that the batch has rows for are read and written again; all other
-    partitions keep their files. Merging the same batch twice changes nothing. Returns
-    the dates, a number that the batch's span in time bounds.
+    partitions keep their files. Merging the same batch twice changes nothing. With ``keep_order``
+    the table holds the order of its rows, so that batches may come in any sequence.
+    Returns the dates, a number that the batch's span in time bounds.
     """
     batch = materialize(batch.withColumn("date", F.to_date(time).cast("string")), "batch")
     dates = sorted(r["date"] for r in batch.select("date").distinct().collect())
-    schema = StructType([f for f in batch.schema if f.name != order])
+    schema = StructType([f for f in batch.schema if keep_order or f.name != order])
     try:
         target = spark.read.schema(schema).parquet(path).filter(F.col("date").isin(dates))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         target = spark.createDataFrame([], schema)
-    merged = materialize(upsert(target.select(schema.names), batch, [*keys, "date"], update, order), "merged")
+    merged = materialize(upsert(target.select(schema.names), batch, [*keys, "date"], update, order, keep_order), "merged")
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
     return dates
 
