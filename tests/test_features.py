@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wattlens.operators import balance, features, olap, scoring
+from wattlens.operators import balance, features, moments, olap, scoring
 
 START = dt.datetime(2024, 1, 1)
 
@@ -68,6 +68,40 @@ def test_base_features_equal_the_definition(spark, hours):
     assert got[4].flatline == 1.0 and got[0].flatline == 0.0
 
 
+def test_refreshed_moments_equal_a_full_rebuild(spark, tmp_path):
+    """History, three daily deltas of uneven length, a correction, the same delta twice, and a new meter."""
+    rows = series(400, 3) + [(3, START + dt.timedelta(hours=h), 7.0) for h in range(380, 400)]
+    meters = spark.createDataFrame([(m,) for m in range(5)], "id long")
+    ddl, path = "meter_id long, timestamp timestamp, consumption_kwh double", str(tmp_path / "m")
+    cuts = [START + dt.timedelta(hours=h) for h in (0, 337, 361, 383, 400)]
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        part = spark.createDataFrame([r for r in rows if a <= r[1] < b], ddl)
+        done = moments.refresh(path, part)
+        assert done.delta_rows == part.count()
+        if i:  # only the blocks of the delta: 337 to 360 is 14 to 15, and so on
+            assert done.blocks == sorted({h // 24 for h in range(int((a - START).total_seconds() // 3600), int((b - START).total_seconds() // 3600))})
+            assert done.stored_rows <= 4 * len(done.blocks)
+    fixed = [(1, START + dt.timedelta(hours=50), 999.0), (0, START + dt.timedelta(hours=399), 1.0)]
+    rows = [r for r in rows if (r[0], r[1]) not in {f[:2] for f in fixed}] + fixed
+    before = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "m" / "moments").rglob("part-*")}
+    for _ in range(2):
+        done = moments.refresh(path, spark.createDataFrame(fixed, ddl))
+        assert done.blocks == [2, 16] and {r.meter_id for r in done.meters.collect()} == {0, 1}
+    after = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "m" / "moments").rglob("part-*")}
+    kept = [name for name in before if "block=2/" not in name and "block=16/" not in name]
+    assert kept and all(after[name] == before[name] for name in kept)
+    stored, index = moments.stored_moments(spark, path), moments.stored_index(spark, path)
+    readings = spark.createDataFrame(rows, ddl)
+    for as_of in (None, 390):
+        whole = {r.meter_id: r.asDict() for r in features.base_features(readings, meters, as_of).collect()}
+        got = {r.meter_id: r.asDict() for r in features.moment_features(stored, index, meters, as_of).collect()}
+        assert got == whole and len(got) == 5
+    some = features.moment_features(stored, index, done.meters.withColumnRenamed("meter_id", "id")).collect()
+    assert {r.meter_id for r in some} == {0, 1}
+    with pytest.raises(ValueError, match="rebuild"):
+        moments.refresh(path, spark.createDataFrame([(1, START - dt.timedelta(hours=1), 1.0)], ddl))
+
+
 def test_index_skips_unobserved_hours(spark):
     rows = [(1, START, 1.0), (1, START + dt.timedelta(hours=5), 2.0), (2, START + dt.timedelta(hours=9), 3.0)]
     readings = spark.createDataFrame(rows, "meter_id long, timestamp timestamp, consumption_kwh double")

@@ -17,13 +17,16 @@ from wattlens.operators.ranking import group_median
 from wattlens.session import materialize
 
 
+SLOTS = 24  # positions of the hour index in a block
+
+
 def time_index(readings: DataFrame) -> DataFrame:
     """Distinct observed hours with their 0-based index.
 
-    One row per hour of history (8 784 a year), so the ordered list is small
-    whatever the number of meters.
+    Times are cut to the hour, so there is one row per hour of history (8 784 a year) and the
+    ordered list is small whatever the number of meters and however fine their readings.
     """
-    hours = readings.select("timestamp").distinct().agg(F.array_sort(F.collect_list("timestamp")).alias("h"))
+    hours = readings.select(F.date_trunc("hour", "timestamp").alias("timestamp")).distinct().agg(F.array_sort(F.collect_list("timestamp")).alias("h"))
     return hours.select(F.posexplode("h").alias("idx", "timestamp")).select(
         "timestamp", "idx", F.hour("timestamp").alias("hour")
     )
@@ -92,6 +95,20 @@ def base_features(readings: DataFrame, meters: DataFrame, as_of: int | None = No
     # The hour index needs a pass over the time column; it is tiny, so it is written once.
     # Its true size is then known and Spark broadcasts it instead of shuffling readings.
     split = window_split(materialize(time_index(readings), "hours"), as_of)
+    return _statistics(_reading_blocks(readings, split), split, meters)
+
+
+def moment_features(moments: DataFrame, index: DataFrame, meters: DataFrame, as_of: int | None = None) -> DataFrame:
+    """The same from stored moments (``operators/moments.py``): one row per meter and block is read.
+
+    ``meters`` may hold some of the meters only, such as those that a late delta changed. A new hour
+    moves the windows of all meters, so after one all of them are due.
+    """
+    split = window_split(index, as_of)
+    return _statistics(_moment_blocks(moments, split), split, meters)
+
+
+def _reading_blocks(readings: DataFrame, split: DataFrame) -> DataFrame:
     x, part = F.col("consumption_kwh"), F.col("part")
     recent, baseline, night = part == "recent", part == "baseline", F.col("night")
 
@@ -99,9 +116,10 @@ def base_features(readings: DataFrame, meters: DataFrame, as_of: int | None = No
         v = x if cond is None else F.when(cond, x).otherwise(0.0)
         return [F.sum(v).alias(f"s_{name}"), F.sum(v * v).alias(f"q_{name}")]
 
-    blocks = (
-        readings.join(split.select("timestamp", "idx", "part", "night"), "timestamp")
-        .groupBy("meter_id", F.floor(F.col("idx") / 24).alias("block"))
+    return (
+        readings.withColumn("timestamp", F.date_trunc("hour", "timestamp"))
+        .join(split.select("timestamp", "idx", "part", "night"), "timestamp")
+        .groupBy("meter_id", F.floor(F.col("idx") / SLOTS).alias("block"))
         .agg(
             *both("all"),
             *both("baseline", baseline),
@@ -111,6 +129,50 @@ def base_features(readings: DataFrame, meters: DataFrame, as_of: int | None = No
             F.collect_list(F.when(recent, x)).alias("seen"),
         )
     )
+
+
+def _moment_blocks(moments: DataFrame, split: DataFrame) -> DataFrame:
+    """The same columns from stored slots, row by row; the hour facts of a block are one small row."""
+    facts = split.groupBy(F.floor(F.col("idx") / SLOTS).alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("idx", "part", "night"))).alias("facts")
+    )
+    placed = F.zip_with(
+        "slots", "facts", lambda v, f: F.struct(v.alias("v"), f["idx"].alias("idx"), f["part"].alias("part"), f["night"].alias("night"))
+    )
+    rows = moments.join(facts, "block").withColumn("z", F.filter(placed, lambda z: z["v"].isNotNull() & z["idx"].isNotNull()))
+
+    def some(cond) -> Column:
+        return F.transform("z" if cond is None else F.filter("z", cond), lambda z: z["v"])
+
+    def total(cond=None) -> Column:
+        return F.aggregate(some(cond), F.lit(0.0), lambda s, v: s + v)
+
+    def squares(cond=None) -> Column:
+        return F.aggregate(some(cond), F.lit(0.0), lambda s, v: s + v * v)
+
+    def recent(z):
+        return z["part"] == "recent"
+
+    def baseline(z):
+        return z["part"] == "baseline"
+
+    return rows.select(
+        "meter_id",
+        "block",
+        total().alias("s_all"),
+        squares().alias("q_all"),
+        total(baseline).alias("s_baseline"),
+        squares(baseline).alias("q_baseline"),
+        total(recent).alias("s_recent"),
+        squares(recent).alias("q_recent"),
+        total(lambda z: recent(z) & z["night"]).alias("s_night"),
+        total(lambda z: recent(z) & ~z["night"]).alias("s_day"),
+        some(recent).alias("seen"),
+    )
+
+
+def _statistics(blocks: DataFrame, split: DataFrame, meters: DataFrame) -> DataFrame:
+    """Features per meter from its block sums."""
     facts = F.col("w")
     n_blocks = F.greatest(F.floor(F.col("w.n") / 24), F.lit(1))
     full = F.floor(F.col("w.n") / 24)

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from wattlens import functions as fn
 from wattlens import schema as S
-from wattlens.operators import balance, features, olap, scoring
+from wattlens.operators import balance, features, moments, olap, scoring
 from wattlens.plans.registry import query
 from wattlens.plans.views import Grid
-from wattlens.session import materialize
+from wattlens.session import materialize, work_path
 
 DAY = "strftime({}, '%Y-%m-%d')"
 
@@ -336,6 +336,19 @@ def a21(spark, d):
     return _base(spark, d).select("meter_id", *_STATS)
 
 
+@query("e4_incremental_features", f"SELECT meter_id, {', '.join(_STATS)} FROM v_base")
+def e4(spark, d):
+    """History first, then the last three days as daily deltas; features from what is stored."""
+    g, path = Grid(spark, d), work_path(spark, "moments")
+    day = F.to_date("timestamp")
+    last = g.readings.agg(F.max(day)).first()[0]
+    age = F.datediff(F.lit(last), day)
+    for part in (age > 2, age == 2, age == 1, age == 0):
+        moments.refresh(path, g.readings.filter(part))
+    stored, index = moments.stored_moments(spark, path), moments.stored_index(spark, path)
+    return features.moment_features(stored, index, g.meters).select("meter_id", *_STATS)
+
+
 @query("a22_daily_anomaly_z", "SELECT meter_id, anomaly_z FROM v_base")
 def a22(spark, d):
     return _base(spark, d).select("meter_id", "anomaly_z")
