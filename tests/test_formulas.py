@@ -144,3 +144,9 @@ def test_registered_sql_functions(spark):
     ).first()
     assert (row.u, row.t, row.z) == (1230.0, "CRITICAL", "12AB")
     assert row.h == pytest.approx(10007.543, abs=1e-3)
+
+
+def test_keys_keep_the_place_of_a_null_part(spark):
+    df = spark.createDataFrame([(None, "A", "B"), ("A", "B", None), ("A", None, "B")], "p string, s string, c string")
+    rows = df.select(fn.segment_key("p", "s", "c").alias("k"), fn.external_ref("p", "s", "c").alias("r")).collect()
+    assert [r.k for r in rows] == ["|A|B", "A|B|", "A||B"] and len({r.r for r in rows}) == 3

@@ -9,6 +9,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from wattlens import functions as fn
@@ -392,6 +393,19 @@ def test_flat_meters_with_state_across_files(spark, tmp_path):
     assert {(r.meter_id, (r.end - START).days, r.flatline) for r in changes} == turns
 
 
+def test_a_stored_model_belongs_to_rows_columns_and_settings(spark, tmp_path):
+    fitted = []
+
+    def fit(matrix, rounds=5, seed=1):
+        fitted.append((matrix.columns, rounds, seed))
+        return PipelineModel([])
+
+    rows = spark.createDataFrame([(1, 2.0, 3.0)], "meter_id long, a double, b double")
+    for matrix, settings in ((rows, {}), (rows, {"seed": 1}), (rows, {"rounds": 6}), (rows, {"seed": 2}), (rows.select("meter_id", "b", "a"), {}), (rows, {})):
+        tables.model_for(matrix, str(tmp_path), fit, **settings)
+    assert [f[1:] for f in fitted] == [(5, 1), (6, 1), (5, 2), (5, 1)]
+
+
 # ---- models ---------------------------------------------------------------------
 def population(spark, n=200, share=5):
     rng = np.random.default_rng(0)

@@ -81,3 +81,12 @@ def test_median_of_concentrated_values(spark, monkeypatch):
     got = {r["k"]: r["m"] for r in group_median(rows, ["k"], "v", "m").collect()}
     want = {r["k"]: r["m"] for r in rows.groupBy("k").agg(F.median("v").alias("m")).collect()}
     assert got == want
+
+
+def test_infinite_and_undefined_values_have_a_place(spark):
+    inf, nan = float("inf"), float("nan")
+    groups = {"a": [1.0, 2.0, 3.0, nan, inf], "b": [-inf, -inf, 5.0], "c": [inf, -inf, 0.0, 1e-300, -1e300], "d": [nan], "e": [1.0, 2.0, nan]}
+    df = spark.createDataFrame([(k, v) for k, values in groups.items() for v in values], "k string, v double")
+    want = {r.k: r.m for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    got = {r.k: r.m for r in group_median(df, ["k"], "v", "m").collect()}
+    assert str(sorted(got.items())) == str(sorted(want.items()))

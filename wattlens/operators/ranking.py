@@ -15,6 +15,7 @@ from wattlens.session import materialize
 
 BUCKET = 10_000  # different values that are sorted together
 _PARTS = 1_024  # equal widths a larger bucket is cut into
+_ENDLESS = 1 << 40  # bucket of infinity, beyond that of any finite value
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
 
@@ -133,9 +134,14 @@ def median_over(column: str, frame: Window) -> Column:
 
 
 def _log_bucket(v: Column) -> Column:
-    """Order-preserving bucket: values within about 1.5 % of each other share one."""
-    size = F.floor(F.log(F.abs(v)) * 64) + 100_000
-    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size)
+    """Order-preserving bucket: values within about 1.5 % of each other share one.
+
+    Infinities have buckets of their own at both ends; NaN, as everywhere in Spark, is above all.
+    """
+    v = v.cast("double")
+    endless = F.abs(v) == F.lit(float("inf"))
+    size = F.when(endless, F.lit(_ENDLESS)).otherwise(F.floor(F.log(F.when(~endless, F.abs(v))) * 64) + 100_000)
+    return F.when(F.isnan(v), F.lit(2 * _ENDLESS)).when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size)
 
 
 def order_statistics(

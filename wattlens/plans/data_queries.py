@@ -419,7 +419,7 @@ def f17(spark, d):
 
 @query(
     "f18_external_ref",
-    """SELECT id, 'STEDIN-' || upper(substr(sha256(upper(coalesce(zipcode || '|', '') || trim(external_ref) || '|' || trim(city))), 1, 16)) AS ref FROM v_customers""",
+    """SELECT id, 'STEDIN-' || upper(substr(sha256(upper(coalesce(zipcode, '') || '|' || trim(external_ref) || '|' || coalesce(trim(city), ''))), 1, 16)) AS ref FROM v_customers""",
 )
 def f18(spark, d):
     return Grid(spark, d).customers.select("id", fn.external_ref("zipcode", "external_ref", "city").alias("ref"))
@@ -452,7 +452,7 @@ def f21(spark, d):
     return Grid(spark, d).table("documents").select("doc_id", fn.slug("text").alias("slug"))
 
 
-@query("f22_segment_key", "SELECT id, upper(concat_ws('|', zipcode, external_ref, city)) AS segment_key FROM v_customers")
+@query("f22_segment_key", "SELECT id, upper(concat_ws('|', coalesce(zipcode, ''), external_ref, coalesce(city, ''))) AS segment_key FROM v_customers")
 def f22(spark, d):
     return Grid(spark, d).customers.select("id", fn.segment_key("zipcode", "external_ref", "city").alias("segment_key"))
 
@@ -551,7 +551,7 @@ def a14(spark, d):
 @query(
     "a15_pc4_groups",
     """SELECT substr(postcode, 1, 4) AS pc4, count(*) AS segments, arg_min(postcode, postcode || street || city) AS sample_postcode,
-              arg_min(street, postcode || street || city) AS sample_street FROM v_segments GROUP BY 1""",
+              arg_min(street, coalesce(postcode, '') || street || city) AS sample_street FROM v_segments GROUP BY 1""",
 )
 def a15(spark, d):
     return od.pc4_groups(Grid(spark, d).segments).select("pc4", "segments", "sample_postcode", "sample_street")

@@ -258,10 +258,9 @@ VIEW_SQL = {
                                 WHEN 2025 THEN (cents % 4000 + 500) - cents % 300
                                 WHEN 2026 THEN CASE WHEN cents % 13 > 0 THEN (cents % 4000 + 500) - cents % 1500 END END AS DOUBLE) / 4 AS sja_kwh,
                1 + cents % 40 AS connections, CAST(cents % 101 AS DOUBLE) AS smart_meter_pct
-        FROM v_customers CROSS JOIN (VALUES (2024), (2025), (2026)) y(year)
-        WHERE zipcode IS NOT NULL""",
+        FROM v_customers CROSS JOIN (VALUES (2024), (2025), (2026)) y(year)""",
     "v_segments": """
-        SELECT upper(postcode || '|' || street || '|' || city) AS segment_key, postcode, street, city, connections,
+        SELECT upper(concat_ws('|', coalesce(postcode, ''), coalesce(street, ''), coalesce(city, ''))) AS segment_key, postcode, street, city, connections,
                sja_2024, sja_2025, sja_2026, smart_meter_pct,
                coalesce(sja_2026, sja_2025, sja_2024) AS sja_latest, coalesce(sja_2024, sja_2025, sja_2026) AS sja_baseline
         FROM (SELECT postcode, street, city, max(connections) AS connections,

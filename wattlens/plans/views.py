@@ -286,8 +286,7 @@ class Grid:
             .otherwise(F.when(k % 13 > 0, base - k % 1500))
         )
         return (
-            self.customers.filter(F.col("zipcode").isNotNull())
-            .withColumn("year", F.explode(F.array(F.lit(2024), F.lit(2025), F.lit(2026))))
+            self.customers.withColumn("year", F.explode(F.array(F.lit(2024), F.lit(2025), F.lit(2026))))
             .select(
                 "year",
                 F.replace("zipcode", F.lit(" "), F.lit("")).alias("postcode"),

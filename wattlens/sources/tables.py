@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -162,17 +165,25 @@ def load_model(spark: SparkSession, path: str, version: str) -> tuple[PipelineMo
     return PipelineModel.load(f"{base}/model"), metadata, spark.read.parquet(f"{base}/predictions")
 
 
-def model_for(matrix: DataFrame, path: str, fit: Callable[[DataFrame], PipelineModel]) -> PipelineModel:
-    """The stored model of exactly these rows, or a newly fitted one, stored under their content hash."""
+def model_for(matrix: DataFrame, path: str, fit: Callable[..., PipelineModel], **settings) -> PipelineModel:
+    """The stored model of exactly these rows and settings, or a newly fitted one.
+
+    It is stored under a hash of the rows and one of the columns in their order, the function
+    with all its parameters, defaults included, and the version of the learner.
+    """
     spark = matrix.sparkSession
+    asked = inspect.signature(fit).bind(matrix, **settings)
+    asked.apply_defaults()
+    given = {name: repr(value) for name, value in asked.arguments.items() if value is not matrix}
+    recipe = json.dumps([matrix.columns, fit.__module__, fit.__qualname__, given, spark.version], sort_keys=True)
     n, mark = matrix.agg(F.count(F.lit(1)), F.expr(f"bit_xor(xxhash64({', '.join(matrix.columns)}))")).first()
-    stored = f"{path}/{n}-{(mark or 0) & (1 << 64) - 1:016x}"
+    stored = f"{path}/{n}-{(mark or 0) & (1 << 64) - 1:016x}-{hashlib.sha256(recipe.encode()).hexdigest()[:16]}"
     try:
         return PipelineModel.load(stored)
     except Exception as e:  # the loader has no error of its own for an absent model
         if "exist" not in str(e):
             raise
-    model = fit(matrix)
+    model = fit(matrix, **settings)
     model.write().overwrite().save(stored)
     return model
 
