@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wattlens import functions as fn
 from wattlens import schema as S
 from wattlens.operators import cases as cs
-from wattlens.operators import filters, listing, lookups
+from wattlens.operators import filters, listing, lookups, zones
 from wattlens.operators.lookups import Zone
 from wattlens.plans.grid_queries import stamp
 from wattlens.plans.registry import query
@@ -315,6 +315,33 @@ def j10(spark, d):
     return Grid(spark, d).customers.select("id", label.alias("woningwaarde_category"), inside.alias("solar_potential_flag"))
 
 
+def _near(kind: str) -> str:
+    dist = "sqrt((c.lon - z.lon) * (c.lon - z.lon) + (c.lat - z.lat) * (c.lat - z.lat))"
+    return f"""(SELECT c.id, z.label, {dist} <= z.radius_deg AS inside,
+                       row_number() OVER (PARTITION BY c.id ORDER BY {dist}, z.zone_no) AS rn
+                FROM v_customers c LEFT JOIN (SELECT id AS zone_no, lon, lat, name AS label, CAST(5 + id % 20 AS DOUBLE) / 1000 AS radius_deg
+                                              FROM v_assets WHERE asset_type = '{kind}') z ON TRUE)"""
+
+
+@query(
+    "j10_zone_tables",
+    f"""SELECT h.id, h.label AS woningwaarde_category, s.inside AS solar_potential_flag, s.label AS zonatlas_label
+        FROM {_near("transformer")} h JOIN {_near("feeder")} s ON h.id = s.id AND h.rn = 1 AND s.rn = 1""",
+)
+def j10_tables(spark, d):
+    """Two zone tables: housing value around transformers, solar potential around feeders."""
+    g = Grid(spark, d)
+
+    def table(kind: str):
+        radius = ((5 + F.col("id") % 20) / 1000).alias("radius_deg")
+        return g.assets.filter(F.col("asset_type") == kind).select(F.col("id").alias("zone_no"), "lon", "lat", F.col("name").alias("label"), radius)
+
+    housing = zones.nearest_zones(g.customers, table("transformer")).select("id", F.col("label").alias("woningwaarde_category"))
+    solar = zones.nearest_zones(g.customers, table("feeder"))
+    solar = solar.select("id", F.col("inside").alias("solar_potential_flag"), F.col("label").alias("zonatlas_label"))
+    return housing.join(solar, "id")
+
+
 _HOURLY = """SELECT date_trunc('hour', ts) AS timestamp, sum(CASE WHEN {cond} THEN CAST(round(value * 100) AS BIGINT) END) AS v
              FROM events WHERE {cond} GROUP BY 1"""
 
