@@ -94,6 +94,37 @@ def test_interaction_beyond_single_weights():
     assert factors[0] @ factors[1] > 0
 
 
+def test_pair_that_says_nothing_term_by_term_among_many_words():
+    rng = np.random.default_rng(4)
+    filler = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8)) for _ in range(20_000)]
+    rows, marks = [], []
+    for i in range(4_000):
+        insult, group = divmod(i % 4, 2)
+        chosen = [filler[j] for j in rng.integers(0, len(filler), 5)]
+        rows.append(toxicity.text_terms(" ".join(["insult"] * insult + ["group"] * group + chosen)))
+        marks.append(insult ^ group)
+    machine = toxicity.Machine(toxicity.fit_machine(np.array(marks), rows))
+    assert min(machine.score(t) for t in ("insult", "group")) > 0.8
+    assert max(machine.score(t) for t in ("insult group", "")) < 0.2
+
+
+def test_common_terms_stay_whatever_they_say_alone():
+    rows = [np.array([1 + i % 2, 100 + i]) for i in range(400)]
+    marks = np.array([i // 2 % 2 for i in range(400)])
+    assert terms.model_terms(marks, rows, 10).tolist() == [1, 2]
+    assert terms.model_terms(np.array([]), [], 10).tolist() == []
+
+
+def test_scores_are_the_factorization_formula():
+    model = toxicity.fit_machine(np.array([0, 1, 1, 0] * 20), [toxicity.text_terms(t) for t in ("a b", "a c", "b c", "c d")] * 20)
+    table = {r.term: (r.weight, r.factors) for r in model.itertuples()}
+    for text in ("a b c", "d unknown", ""):
+        found = [table[t] for t in sorted(set(toxicity.text_terms(text).tolist())) if t in table]
+        value = table[-1][0] + sum(w for w, _ in found)
+        value += sum(float(np.dot(x, y)) for i, (_, x) in enumerate(found) for _, y in found[:i])
+        assert toxicity.Machine(model).score(text) == pytest.approx(1 / (1 + np.exp(-value)), abs=1e-12)
+
+
 def test_toxicity_odd_rows(spark, docs, labels):
     odd = spark.createDataFrame(ODD_ROWS, ODD)
     model = toxicity.fit(odd, labels.limit(0))

@@ -26,8 +26,8 @@ from wattlens.llm.terms import (
     Sparse,
     fit_in_one_task,
     held_out,
-    informative_terms,
     labelled_sample,
+    model_terms,
     sigmoid,
     term_id,
     term_rows,
@@ -36,7 +36,7 @@ from wattlens.llm.terms import (
 from wattlens.llm.texts import in_small_batches
 
 SAMPLE = 20_000  # labelled documents the model is fitted on, at most
-TERMS = 2_048
+TERMS = 2_048  # rarer terms with parameters, at most; all common ones have them
 _SCHEMA = "term long, weight double"
 _MARKS = re.compile(r"[^\w\s]+")
 _BARE = re.compile(r"(?<!\S)[^\w\s]+(?!\S)")
@@ -86,7 +86,7 @@ def fit_ordinal(labels: np.ndarray, rows: list, epochs: int = 25, size: int = 51
     Steps between thresholds are exponentials, so their order holds during the descent.
     """
     grades = int(labels.max())
-    vocabulary = informative_terms(labels.astype(float), rows, TERMS)
+    vocabulary = model_terms(labels.astype(float), rows, TERMS)
     data, rng = Sparse(rows, vocabulary), np.random.default_rng(3)
     shares = np.array([np.clip((labels > j).mean(), 1e-3, 1 - 1e-3) for j in range(grades)])
     cuts = -np.log(shares / (1 - shares))  # P(grade > j) = sigmoid(position - cut_j)

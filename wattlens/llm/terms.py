@@ -14,6 +14,7 @@ from xxhash import xxh64_intdigest
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
 STEMS = (4, 6)
+COMMON = 20  # a term in one of so many sampled rows, and in 25 at least, is kept whatever its own score
 
 
 def held_out(parts: int, which: int):
@@ -89,19 +90,24 @@ def fit_in_one_task(rows: DataFrame, fit: Callable[..., pd.DataFrame], schema: s
     return rows.repartition(1).mapInPandas(run, schema).toPandas()
 
 
-def informative_terms(labels: np.ndarray, rows: list, most: int, least: int = 3) -> np.ndarray:
-    """The ``most`` terms whose presence goes furthest with a label being above average (|z| score)."""
+def model_terms(labels: np.ndarray, rows: list, most: int, least: int = 3) -> np.ndarray:
+    """The terms that get parameters: every common one, and the ``most`` others that go furthest with the label.
+
+    A common term stays even if it says nothing alone, since it may say much beside another one.
+    Rarer terms are ranked by how far their presence goes with a label above average (|z| score).
+    """
     sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
     flat = np.concatenate(rows) if len(rows) else np.zeros(0, dtype=np.int64)
     ids, where = np.unique(flat, return_inverse=True)
-    centred = labels - labels.mean()
+    centred = labels - (labels.mean() if len(labels) else 0)
     docs = np.bincount(where, minlength=len(ids))
     gain = np.bincount(where, weights=np.repeat(centred, sizes), minlength=len(ids))
     with np.errstate(divide="ignore", invalid="ignore"):
         z = np.abs(gain) / np.sqrt(np.maximum(docs * (1 - docs / max(len(rows), 1)), 0.5))
-    z[docs < least] = -1
+    common = docs >= max(25, len(rows) / COMMON)
+    z[(docs < least) | common] = -1
     order = np.lexsort((ids, -z))[:most]
-    return np.sort(ids[order[z[order] > 0]])
+    return np.sort(np.concatenate([ids[common], ids[order[z[order] > 0]]]))
 
 
 class Sparse:

@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Every pair of terms in a text has an interaction, the inner product of two learned factors, so
-that an insult together with a group can weigh more than both alone.
+that an insult together with a group can weigh more than both alone. Common terms of the sample
+all take part, also those that say nothing alone; rarer ones if they go with the label.
 
 Defined results: a null or empty text has no terms and gets the score of the bias; repeated rows
 score alike; without any labelled row every score is 0; an empty table gives no rows.
@@ -22,8 +23,8 @@ from wattlens.llm.terms import (
     TermCache,
     fit_in_one_task,
     held_out,
-    informative_terms,
     labelled_sample,
+    model_terms,
     sigmoid,
     term_rows,
     word_and_stem_terms,
@@ -31,7 +32,7 @@ from wattlens.llm.terms import (
 from wattlens.llm.texts import in_small_batches
 
 SAMPLE = 20_000  # labelled documents the model is fitted on, at most
-TERMS = 8_192
+TERMS = 8_192  # rarer terms with parameters, at most; all common ones have them
 FACTORS = 4
 _SCHEMA = "term long, weight double, factors array<double>"
 
@@ -43,7 +44,7 @@ def text_terms(text: str) -> np.ndarray:
 
 def fit_machine(labels: np.ndarray, rows: list, epochs: int = 30, size: int = 512) -> pd.DataFrame:
     """Weights and factors per term; the row of term -1 holds the bias."""
-    vocabulary = informative_terms(labels, rows, TERMS)
+    vocabulary = model_terms(labels, rows, TERMS)
     data, rng = Sparse(rows, vocabulary), np.random.default_rng(3)
     rate = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     bias = np.array([np.log(rate / (1 - rate))])
