@@ -247,7 +247,10 @@ def customer_dto(rows: DataFrame) -> DataFrame:
 
 def asset_dto(rows: DataFrame) -> DataFrame:
     point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
-    return rows.select("id", "parent_external_id", "asset_type", "external_id", "name", point.alias("geometry"), "region_id", "risk_tier", "risk_score")
+    return rows.select(
+        "id", "parent_external_id", "asset_type", "external_id", "name",
+        F.when(F.col("lon").isNotNull(), point).alias("geometry"), "region_id", "risk_tier", "risk_score",
+    )
 
 
 def risk_dto(scores: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wattlens import functions as fn
 from wattlens import schema as S
-from wattlens.operators import balance, features, moments, olap, scoring
+from wattlens.operators import balance, features, moments, olap, profile, scoring
 from wattlens.plans.registry import query
 from wattlens.plans.views import Grid
 from wattlens.session import materialize, work_path
@@ -598,3 +598,47 @@ def e2(spark, d):
         F.round("estimated_loss_kwh", 3).alias("estimated_loss_kwh"),
         F.round("inspection_priority", 3).alias("inspection_priority"),
     )
+
+
+@query(
+    "e5_customer_risk_profile",
+    _PEER_DAILY
+    + f""",
+       daily AS (SELECT meter_id, count(*) AS n_days, strftime(min(day), '%Y-%m-%d') AS first_day,
+                        round(sum(round(kwh, 3)), 3) AS customer_kwh, round(sum(round(coalesce(peers, 0e0), 3)), 3) AS peer_kwh
+                 FROM med GROUP BY 1),
+       lately AS (SELECT meter_id, avg(kwh) * 365e0 AS year_kwh FROM (
+                    SELECT meter_id, kwh, row_number() OVER (PARTITION BY meter_id ORDER BY day DESC) AS rn FROM med)
+                  WHERE rn <= 14 GROUP BY 1)
+       SELECT c.id, c.external_ref, s.risk_score, s.risk_tier, s.anomaly_score, coalesce(n_days, 0) AS n_days, first_day,
+              customer_kwh, peer_kwh, c.baseline_annual_kwh, round(year_kwh, 2) AS recent_annualized_kwh,
+              CASE WHEN c.baseline_annual_kwh > 0 THEN round((year_kwh - c.baseline_annual_kwh) / c.baseline_annual_kwh, 4) END
+                AS baseline_deviation_ratio,
+              round(coalesce(h.share, 0e0), 6) AS loss_attribution_share,
+              CAST(2 + CASE WHEN s.risk_tier IN ('HIGH', 'CRITICAL') THEN 1 ELSE 0 END
+                   + CASE WHEN c.baseline_annual_kwh IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS n_notes
+       FROM v_customers c JOIN v_scores s ON s.entity_id = c.id AND s.entity_type = 'customer' AND s.is_current
+       LEFT JOIN daily ON daily.meter_id = c.id LEFT JOIN lately ON lately.meter_id = c.id
+       LEFT JOIN (SELECT meter_id, share FROM ({_SHARES})) h ON h.meter_id = c.id""",
+)
+def e5(spark, d):
+    g = Grid(spark, d)
+    explained = scoring.build_explanations(scoring.attribute_loss(g.scored, g.transformer_features))
+    days = F.col("peer_comparison")
+    summed = lambda name: F.round(F.aggregate(days[name], F.lit(0.0), lambda a, x: a + x), 3)
+    return profile.risk_profiles(g.customers, g.scores, g.readings, explained).select(
+        "id",
+        "customer.external_ref",
+        "risk.risk_score",
+        "risk.risk_tier",
+        F.col("risk.components.anomaly_score").alias("anomaly_score"),
+        F.coalesce(F.size(days), F.lit(0)).cast("long").alias("n_days"),
+        F.date_format(days[0]["day"], "yyyy-MM-dd").alias("first_day"),
+        summed("customer_kwh").alias("customer_kwh"),
+        summed("peer_median_kwh").alias("peer_kwh"),
+        "spatial_context.baseline_annual_kwh",
+        "spatial_context.recent_annualized_kwh",
+        "spatial_context.baseline_deviation_ratio",
+        *rounded("loss_attribution_share"),
+        F.size("notes").cast("long").alias("n_notes"),
+    )

@@ -195,6 +195,21 @@ def p15(spark, d):
     )
 
 
+@query(
+    "p15_asset_shape",
+    """SELECT a.id, a.parent_external_id, a.asset_type, a.external_id, a.name, 'Point' AS shape, a.lon, a.lat, a.region_id,
+              s.risk_tier, s.risk_score
+       FROM v_assets a LEFT JOIN v_scores s ON s.entity_id = a.id AND s.entity_type = 'transformer' AND s.is_current""",
+)
+def p15_assets(spark, d):
+    g = Grid(spark, d)
+    at = F.col("geometry.coordinates")
+    return listing.asset_dto(lookups.with_risk(g.assets, g.scores, "transformer")).select(
+        "id", "parent_external_id", "asset_type", "external_id", "name", F.col("geometry.type").alias("shape"),
+        at[0].alias("lon"), at[1].alias("lat"), "region_id", "risk_tier", "risk_score",
+    )
+
+
 # ---- J1-J3, J5-J10, J16 ---------------------------------------------------------
 @query(
     "j1_resolve_fk",
