@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -81,3 +82,20 @@ def test_given_documents(spark):
     want = {int(rows["doc_id"][r]) for r in naive_roots(list(rows["text"]))}
     assert {r["doc_id"] for r in near_sets.one_of_each(docs).collect()} == want
     assert len(want) < len(rows)
+
+
+def test_simhash_components_are_candidates(spark, monkeypatch):
+    """Without a band in common, copies within a few bits are still found, and only if they are similar."""
+    monkeypatch.setattr(near_sets, "bands", lambda values: np.zeros(0, dtype=np.int64))
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(2000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join([*words, "more"])]
+    texts += [" ".join(f"v{rng.randrange(10**9)}" for _ in range(50)) for _ in range(5)]
+    # a text said ten times over has the shingles' weights of one saying, but not its set
+    once = [f"u{i}" for i in range(6)]
+    texts += [" ".join(once), " ".join(once * 400)]
+    bits = [near_sets.fingerprint(t, near_sets.WIDTH) for t in texts]
+    assert max((bits[0] ^ b).bit_count() for b in bits[1:3]) <= near_sets.DISTANCE
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in near_sets.one_of_each(docs).collect()}
+    assert kept == {0, *range(3, len(texts))}

@@ -1,9 +1,12 @@
-"""Near-duplicates by exact shingle similarity, with MinHash bands for candidates.
+"""Near-duplicates by SimHash ball hashing and exact shingle similarity.
 
 Two texts are linked if the sets of their ``WIDTH``-word shingles have a similarity (shared
-over all) of 0.8 or more. Candidates share a band of ``ROWS`` minima of ``BANDS``; a pair of
-similarity s does so with a probability of 1 - (1 - s^4)^20, which is 0.99997 at 0.8 and rises from
-there. Every link is verified on the whole sets of 64-bit shingle hashes.
+over all) of 0.8 or more. Candidates are the texts of one component of ``simhash.py``, whose
+fingerprints over the same shingles differ by ``DISTANCE`` bits or fewer from one to the next. Few
+pairs near 0.8 are that close, so texts that share a band of ``ROWS`` minima of ``BANDS`` are
+candidates as well; a pair of similarity s does so with a probability of 1 - (1 - s^4)^20, which is
+0.99997 at 0.8 and rises from there. Both kinds are buckets below. Every link is verified on the
+whole sets of 64-bit shingle hashes.
 
 The sets of a bucket are first compared with one of them, the one whose buckets hold most sets: the
 text that many copies were made of. Sets that still share a bucket with another group are then compared
@@ -27,12 +30,13 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from wattlens.llm.components import components
-from wattlens.llm.simhash import SEED, keep_first, shingles
+from wattlens.llm.simhash import SEED, fingerprint, keep_first, linked_fingerprints, shingles
 from wattlens.llm.texts import in_small_batches
 from wattlens.session import materialize
 
 WIDTH = 5
 BANDS, ROWS = 20, 4
+DISTANCE = 4
 _CHUNK = 4_096
 _rng = np.random.default_rng(17)
 _XOR = _rng.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64)
@@ -66,7 +70,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, set, n, bands) of every row."""
+    """(doc_id, digest, set, n, bands, fp) of every row."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -78,10 +82,11 @@ def _described(docs: DataFrame) -> DataFrame:
                     "set": [_identity(s) for s in sets],
                     "n": [len(s) for s in sets],
                     "bands": [bands(s) for s in sets],
+                    "fp": np.array([fingerprint(t, WIDTH) for t in batch["text"]], dtype=np.uint64).view(np.int64),
                 }
             )
 
-    return _keyed(docs).mapInPandas(emit, "doc_id long, digest long, set long, n int, bands array<long>")
+    return _keyed(docs).mapInPandas(emit, "doc_id long, digest long, set long, n int, bands array<long>, fp long")
 
 
 def _hashes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -133,10 +138,15 @@ def _rare_pairs(members: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def _linked(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, root): the least set reachable over verified links, of sets that share a band with another."""
+    """(node, root): the least set reachable over verified links, of sets that share a bucket with another."""
     key = F.struct(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc"), "digest")
     sets = rows.groupBy("set").agg(F.min(key).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    keys = materialize(sets.select("set", "n", "at", F.explode("bands").alias("bucket")), "bands")
+    # a set has several fingerprints if its texts repeat shingles differently
+    close = linked_fingerprints(rows.select("fp").distinct(), DISTANCE)
+    balls = rows.select("set", "fp").distinct().join(close.withColumnRenamed("node", "fp"), "fp", "left")
+    balls = balls.groupBy("set").agg(F.collect_set(F.xxhash64(F.lit("ball"), F.coalesce("root", "fp"))).alias("balls"))
+    buckets = F.explode(F.concat("bands", "balls")).alias("bucket")
+    keys = materialize(sets.join(balls, "set").select("set", "n", "at", buckets), "bands")
     several = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
     shared = materialize(keys.join(several, "bucket"), "buckets")
     sought = shared.groupBy("set").agg(F.first("at").alias("at"), F.first("n").alias("n"), F.sum("sets").alias("met"))
