@@ -506,3 +506,16 @@ def test_keys_belong_to_an_operator_and_the_last_row_wins(spark):
     with pytest.raises(Exception, match="not unique"):
         lookups.resolve_optional_fk(people, assets, "external_ref", "external_id").count()
         lookups.resolve_optional_fk(people, assets.withColumn("external_id", F.lit("C")), "external_ref", "external_id").collect()
+
+
+def test_profile_hours_are_neither_sorted_nor_shuffled(spark):
+    """Totals are added up per key, repeated and null keys included; the plan sorts segments, not their hours."""
+    rows = spark.createDataFrame([("a", 876.0, 1752.0), ("a", 100.0, 50.0), (None, 876.0, 876.0), ("z", 0.0, 0.0)], "segment_key string, sja_baseline double, sja_latest double")
+    made = opendata.expand_annual_profile(rows, hours=1440)
+    got = {(r["segment_key"], r["n"]): r["s"] for r in made.groupBy("segment_key").agg(F.count("*").alias("n"), F.sum("consumption_kwh").alias("s")).collect()}
+    assert set(got) == {("a", 2880), (None, 1440), ("z", 1440)}
+    assert got[(None, 1440)] == pytest.approx(876.0 * 1440 / 8760, rel=1e-4) and got[("z", 1440)] == 0
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    hourly = plan[: plan.index("Generate explode")]
+    assert "Sort" not in hourly and "Exchange" not in hourly

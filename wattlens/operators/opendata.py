@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattlens import schema as S
@@ -246,27 +246,30 @@ def expand_annual_profile(segments: DataFrame, hours: int = PROFILE_HOURS, end:
     split = hours - recent_hours
     last = F.unix_timestamp(F.lit(end).cast("timestamp"))
     # A segment is a few bytes that become many rows, so segments are spread by count,
-    # not by size. Their rows then stay where they are: the rescaling window is over
-    # the same key and needs no further shuffle.
+    # not by size. Their rows then stay where they are and are made twice, once to be added up
+    # and once scaled: only totals are kept and joined, hourly rows are neither sorted nor shuffled.
     tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     one, two = hash_unit("segment_key")
     seeds = [F.floor(unit * _PRIME).alias(name) for unit, name in ((one, "k1"), (two, "k2"))]
-    slots = (
-        segments.select("segment_key", F.col("sja_baseline").alias("b"), F.col("sja_latest").alias("l"), *seeds)
-        .repartition(tasks, "segment_key")
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(hours - 1))).alias("idx"))
-        .withColumn("timestamp", F.timestamp_seconds(last - (F.lit(hours - 1) - F.col("idx")) * 3600))
-    )
+    annual_use = segments.select("segment_key", F.col("sja_baseline").alias("b"), F.col("sja_latest").alias("l"), *seeds)
+    annual_use = annual_use.repartition(tasks, "segment_key")
     hour = F.hour("timestamp")
     diurnal = F.when((hour < 7) | (hour > 22), 0.45).when(hour.between(17, 21), 1.1).otherwise(0.85)
     seasonal = F.lit(1.0) + F.lit(0.15) * F.sin(F.lit(2.0) * F.pi() * (F.dayofyear("timestamp") / F.lit(365.0)))
     annual = F.when(F.col("idx") < split, F.col("b")).otherwise(F.col("l"))
     u, v = (_hour_unit(F.col(k), step) for k, step in zip(("k1", "k2"), _STEPS, strict=True))
     jitter = F.lit(1.0) + F.lit(noise) * (u + v - 1.0) * F.sqrt(F.lit(6.0))
-    raw = slots.withColumn("kwh", F.greatest(annual / S.HOURS_PER_YEAR * seasonal * diurnal * jitter, F.lit(0.0)))
-    total = F.sum("kwh").over(Window.partitionBy("segment_key"))
+
+    def hourly(rows: DataFrame) -> DataFrame:
+        slots = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(hours - 1))).alias("idx")).withColumn(
+            "timestamp", F.timestamp_seconds(last - (F.lit(hours - 1) - F.col("idx")) * 3600)
+        )
+        return slots.withColumn("kwh", F.greatest(annual / S.HOURS_PER_YEAR * seasonal * diurnal * jitter, F.lit(0.0)))
+
+    totals = hourly(annual_use).groupBy(F.col("segment_key").alias("_key")).agg(F.sum("kwh").alias("total"))
     target = (F.col("b") * split + F.col("l") * recent_hours) / S.HOURS_PER_YEAR
     scale = F.when((F.col("total") > 0) & (target > 0), target / F.col("total")).otherwise(F.lit(1.0))
-    return raw.withColumn("total", total).select(
-        "segment_key", "timestamp", "idx", F.round(F.col("kwh") * scale, 6).alias("consumption_kwh")
+    scaled = annual_use.join(totals, F.col("segment_key").eqNullSafe(F.col("_key"))).withColumn("scale", scale)
+    return hourly(scaled).select(
+        "segment_key", "timestamp", "idx", F.round(F.col("kwh") * F.col("scale"), 6).alias("consumption_kwh")
     )
