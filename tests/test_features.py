@@ -224,3 +224,25 @@ def test_explanations_of_flat_solar_meter(spark):
     assert [x.feature for x in e[4:]] == ["flatline", "solar_potential_flag", "loss_attribution_share"]
     assert e[-1].contribution == 0.25 and len(e) == 7
     assert [x.contribution for x in e[:4]] == sorted((x.contribution for x in e[:4]), reverse=True)
+
+
+def test_densify_neither_shuffles_nor_sorts_the_grid(spark):
+    """Repeated readings and meters, nulls, hours of nobody and meters without readings; only readings are dealt out."""
+    hour = [dt.datetime(2024, 1, 1) + dt.timedelta(hours=i) for i in range(6)]
+    read = [(1, hour[0], 2.0), (1, hour[0], 3.0), (1, hour[2], None), (2, hour[5], 1.5), (9, hour[1], 7.0), (None, hour[1], 4.0), (2, None, 1.0)]
+    readings = spark.createDataFrame(read, "meter_id long, timestamp timestamp, consumption_kwh double")
+    meters = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "id long")
+    index = features.time_index(readings)
+    hours = [hour[i] for i in (0, 1, 2, 5)]
+    want = []
+    for m in (1, 2, 2, 3, None):
+        for i, h in enumerate(hours):
+            met = [v for k, at, v in read if k is not None and k == m and at == h]
+            want += [(m, h, i, v or 0.0) for v in met or [0.0]]
+    grid = features.densify(readings, meters, index)
+    assert sorted(map(str, (tuple(r) for r in grid.collect()))) == sorted(map(str, want))
+    node = features.densify(readings, meters, index)._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Generate":  # nothing but columns is worked out above the list of hours
+        assert node.nodeName() == "Project"
+        node = node.children().head()
+    assert features.densify(readings.limit(0), meters, features.time_index(readings.limit(0))).count() == 0

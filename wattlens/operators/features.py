@@ -53,13 +53,27 @@ def window_split(index: DataFrame, as_of: int | None = None) -> DataFrame:
 
 
 def densify(readings: DataFrame, meters: DataFrame, index: DataFrame) -> DataFrame:
-    """The zero-filled grid itself, for export and as the tested definition."""
-    hours = index.agg(F.collect_list(F.struct("idx", "timestamp")).alias("h")).select("h")
-    grid = meters.select(F.col("id").alias("meter_id"), F.explode(hours.scalar()).alias("slot")).select(
-        "meter_id", F.col("slot.idx").alias("idx"), F.col("slot.timestamp").alias("timestamp")
-    )
-    return grid.join(readings.select("meter_id", "timestamp", "consumption_kwh"), ["meter_id", "timestamp"], "left").select(
-        "meter_id", "timestamp", "idx", F.coalesce("consumption_kwh", F.lit(0.0)).alias("consumption_kwh")
+    """The zero-filled grid itself, for export and as the tested definition.
+
+    A meter's readings are brought to its one row, with their positions in the hour list; the grid
+    is written out from there and is neither shuffled nor sorted. A row holds the readings of one meter.
+    """
+    # a meter is a few bytes that become many rows: meters are spread by count, not by size
+    tasks = int(meters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = index.agg(F.array_sort(F.collect_list(F.struct("timestamp", "idx"))).alias("h"))
+    listed = listed.select(F.struct("h", F.transform("h", lambda _, i: i).alias("at")).alias("hours"))
+    slots = listed.select(F.posexplode("hours.h").alias("at", "slot")).select("at", F.col("slot.timestamp").alias("timestamp"))
+    read = readings.select("meter_id", "timestamp", F.col("consumption_kwh").cast("double").alias("v"))
+    series = read.join(F.broadcast(slots), "timestamp").groupBy("meter_id").agg(F.collect_list(F.struct("at", "v")).alias("seen"))
+    hours = listed.scalar()
+    grid = meters.select(F.col("id").alias("meter_id")).repartition(tasks, "meter_id").join(series, "meter_id", "left")
+    kind = "array<struct<at:int,v:double>>"
+    grid = grid.withColumn("seen", F.coalesce("seen", F.array().cast(kind)))
+    unseen = F.arrays_zip(F.array_except(hours["at"], F.col("seen.at")), F.array().cast("array<double>")).cast(kind)
+    grid = grid.select("meter_id", F.explode(F.concat("seen", unseen)).alias("x"))
+    slot = F.get(hours["h"], F.col("x.at"))
+    return grid.select(
+        "meter_id", slot["timestamp"].alias("timestamp"), slot["idx"].alias("idx"), F.coalesce("x.v", F.lit(0.0)).alias("consumption_kwh")
     )
 
 
