@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -103,6 +105,20 @@ def test_slug(spark, text, expected):
     assert one(spark, fn.slug(F.lit(text))) == expected
 
 
+def test_slug_of_long_texts(spark):
+    """As by rewriting the whole text, of which only the start is rewritten."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab1-/ .\n\té") for _ in range(rng.randrange(80))) for _ in range(300)]
+    texts += ["a" * 23 + "--b", "a" * 23 + "- ", "a" * 24 + "-b", "-" * 50, "é" * 30 + "x", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    dashed = F.regexp_replace(F.trim("t"), "[^A-Za-z0-9]+", "-")
+    cut = F.substring(F.upper(F.regexp_replace(dashed, "^-+|-+$", "")), 1, 24)
+    whole = F.when(cut == "", F.lit("SEG")).otherwise(cut)
+    assert rows.filter(~whole.eqNullSafe(fn.slug("t"))).count() == 0
+    plan = rows.select(fn.slug("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" in plan and "regexp_replace(trim(t" not in plan
+
+
 def test_metadata_omits_what_is_not_given(spark):
     assert one(spark, fn.customer_metadata(F.lit(" "), F.lit(""))) == '{"source":"production_csv"}'
     assert one(spark, fn.customer_metadata(F.lit("bypass"), F.lit("yes"))) == (
