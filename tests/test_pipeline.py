@@ -16,6 +16,7 @@ from wattlens import functions as fn
 from wattlens import schema as S
 from wattlens.operators import cases, listing, lookups, ml, opendata, sequences
 from wattlens.operators.lookups import Zone
+from wattlens.session import owned_stages
 from wattlens.sources import files, ingest, tables
 from wattlens.streaming import readings as st
 
@@ -519,3 +520,16 @@ def test_profile_hours_are_neither_sorted_nor_shuffled(spark):
     assert "Window" not in plan
     hourly = plan[: plan.index("Generate explode")]
     assert "Sort" not in hourly and "Exchange" not in hourly
+
+
+def test_scoring_reads_the_snapshots_that_trained(spark, monkeypatch):
+    """The features are made once: model and scores come from one stage table."""
+    from wattlens.operators import features
+    from wattlens.plans.catalog import QUERIES
+
+    calls, made = [], features.customer_features
+    monkeypatch.setattr(features, "customer_features", lambda *a, **b: calls.append(1) or made(*a, **b))
+    monkeypatch.setattr(ml, "fit_classifier", lambda m, f=ml.fit_classifier: f(m, rounds=2))
+    with owned_stages(spark):
+        assert QUERIES["m8_predict_frame"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1

@@ -89,8 +89,8 @@ _Z = ", ".join(
 )
 
 
-def _stored_matrix(spark, d):
-    return materialize(ml.feature_matrix(Grid(spark, d).features), "matrix")
+def _stored_matrix(spark, d, grid=None):
+    return materialize(ml.feature_matrix((grid or Grid(spark, d)).features), "matrix")
 
 
 @query("a27_standardize_columns", f"SELECT meter_id, {_Z} FROM v_features")
@@ -99,9 +99,9 @@ def a27(spark, d):
     return z.select("meter_id", *[F.round(c, 5).alias(c) for c in S.MODEL_COLUMNS])
 
 
-def trained(spark, d):
+def trained(spark, d, grid=None):
     """(matrix, model): the model stored for exactly this matrix, or a new one, then stored."""
-    m = _stored_matrix(spark, d)
+    m = _stored_matrix(spark, d, grid)
     return m, tables.model_for(m, f"{shared_dir(spark)}/models", ml.fit_classifier)
 
 
@@ -186,8 +186,9 @@ def m7(spark, d):
        FROM v_features""",
 )
 def m8(spark, d):
-    m, model = trained(spark, d)
-    out = ml.predict_frame(model, ml.fit_isolation_forest(m), Grid(spark, d).features)
+    g = Grid(spark, d)  # its snapshots are a stage table: training and scoring read the same one
+    m, model = trained(spark, d, g)
+    out = ml.predict_frame(model, ml.fit_isolation_forest(m), g.features)
     parts = list(S.RISK_WEIGHTS)
     again = out.select("meter_id", "grid_imbalance_score", "risk_score", "risk_tier", *[c for c in parts if c != "grid_imbalance_score"])
     total = sum((F.col(c) * F.lit(100.0 * w) for c, w in S.RISK_WEIGHTS.items()), F.lit(0.0))
