@@ -533,3 +533,13 @@ def test_scoring_reads_the_snapshots_that_trained(spark, monkeypatch):
     with owned_stages(spark):
         assert QUERIES["m8_predict_frame"](spark, "/root/testdata/sf0.001").count() > 0
     assert len(calls) == 1
+
+
+def test_row_order_holds_no_paths(spark, tmp_path):
+    """Rows sort as they stand in the files, by file name; the order is numbers alone."""
+    for name, values in (("b", "3\n1\n"), ("a b", "2\n5\n"), ("c", "4\n")):
+        (tmp_path / f"{name}.csv").write_text("v\n" + values)
+    rows = files.read_checked_csv(spark, str(tmp_path), ["v"], "v.csv", "v string, w string", ordered=True)
+    assert [r["v"] for r in rows.orderBy("_row").collect()] == ["2", "5", "3", "1", "4"]
+    assert {f.dataType.simpleString() for f in rows.schema["_row"].dataType.fields} <= {"int", "bigint"}
+    assert rows.columns == ["v", "w", "_row"] and rows.filter("_row.file is null").count() == 0

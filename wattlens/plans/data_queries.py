@@ -333,7 +333,7 @@ def e1(spark, d):
     people = materialize(people, "people")
     raw_readings = raw("meter_readings", ["customer_external_ref"], f"{S.READINGS_CSV}, operator_name string")
     empty, _ = ingest.meter_readings(raw_readings.limit(0), people, ops)
-    readings, _, rejects = ingest.merge_readings(empty, raw_readings, people, ops)
+    readings, _, rejects = ingest.merge_readings(empty.drop("_row"), raw_readings, people, ops)
     refused = rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
     per_meter = readings.groupBy(F.col("meter_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum("consumption_kwh").alias("kwh"))
     tx = assets.select(F.col("id").alias("transformer_id"), F.col("external_id").alias("transformer"))
