@@ -543,3 +543,19 @@ def test_row_order_holds_no_paths(spark, tmp_path):
     assert [r["v"] for r in rows.orderBy("_row").collect()] == ["2", "5", "3", "1", "4"]
     assert {f.dataType.simpleString() for f in rows.schema["_row"].dataType.fields} <= {"int", "bigint"}
     assert rows.columns == ["v", "w", "_row"] and rows.filter("_row.file is null").count() == 0
+
+
+def test_arriving_writes_have_equal_numbers_of_files(spark, tmp_path, monkeypatch):
+    """A write is spread over files; a stream that takes as many sees one write at a time, in order."""
+    monkeypatch.setattr(st, "FILE_ROWS", 100)
+    with owned_stages(spark):
+        rows = spark.range(1000).select("id", (F.lit(START).cast("timestamp") + F.make_interval(hours=F.when(F.col("id") < 995, 0).otherwise(F.col("id")).cast("int"))).alias("at"))
+        folder, files_each = st.arriving(rows, "arrive", 3, "at")
+        assert files_each == 4
+        listed = sorted(Path(folder).glob("part-*"), key=lambda f: f.stat().st_mtime_ns)
+        assert len(listed) == 12
+        ids = [{r["id"] for r in spark.read.parquet(*map(str, listed[i : i + 4])).collect()} for i in (0, 4, 8)]
+        assert ids == [set(range(995)), set(), set(range(995, 1000))]
+        _, batches = st.process_available(st.file_stream(spark, folder, files_per_trigger=files_each).withWatermark("at", "1 day"), "seen")
+        assert [b["read"] for b in batches if b["read"]] == [995, 5]
+        assert st.arriving(rows.limit(0), "none", 3, "at")[1] == 1

@@ -280,9 +280,9 @@ def t1(spark, d):
         F.col("user_id").alias("meter_id"), F.date_trunc("hour", "ts").alias("timestamp"),
         cents("value").cast("double").alias("consumption_kwh"), "event_id",
     )
-    folder = st.arriving(rows, "arriving-events", 3)
+    folder, files = st.arriving(rows, "arriving-events", 3)
     base, keys = work_path(spark, "upsert-stream"), ["meter_id", "timestamp"]
-    stream = st.file_stream(spark, folder, files_per_trigger=1)
+    stream = st.file_stream(spark, folder, files_per_trigger=files)
     st.upsert_stream(stream, f"{base}/table", f"{base}/state", keys, ["consumption_kwh"], "event_id", "timestamp").awaitTermination()
     return spark.read.parquet(f"{base}/table").select("meter_id", stamp("timestamp").alias("timestamp"), "consumption_kwh")
 
@@ -314,8 +314,8 @@ def t3(spark, d):
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select(
         F.col("l_shipdate").cast("timestamp").alias("timestamp"), *[v.cast("double").alias(name) for name, v in sides.items()]
     )
-    folder = st.arriving(rows, "arriving-lines", 3, "timestamp")
-    streams = [st.file_stream(spark, folder, files_per_trigger=1).select("timestamp", F.col(name).alias("kwh")) for name in sides]
+    folder, files = st.arriving(rows, "arriving-lines", 3, "timestamp")
+    streams = [st.file_stream(spark, folder, files_per_trigger=files).select("timestamp", F.col(name).alias("kwh")) for name in sides]
     days = st.run_available(st.daily_balance_stream(*streams), "daily")
     return days.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "energy_input_kwh", "unexplained_kwh")
 
@@ -334,6 +334,7 @@ def t4(spark, d):
     rows = spark.read.parquet(f"{d}/events.parquet").select(
         F.col("ts").cast("timestamp").alias("timestamp"), F.col("user_id").alias("meter_id"), cents("value").cast("double").alias("kwh")
     )
-    stream = st.file_stream(spark, st.arriving(rows, "arriving-readings", 3, "timestamp"), files_per_trigger=1)
+    folder, files = st.arriving(rows, "arriving-readings", 3, "timestamp")
+    stream = st.file_stream(spark, folder, files_per_trigger=files)
     alerts = st.run_available(st.flatline_stream(stream, near_zero=500.0), "flat")
     return alerts.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "meter_id", "n", "s", "zeros", "flatline")

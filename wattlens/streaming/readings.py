@@ -33,23 +33,41 @@ def file_stream(spark: SparkSession, path: str, schema=None, files_per_trigger:
     return reader.parquet(path)
 
 
-def arriving(rows: DataFrame, label: str, parts: int, time: str | None = None) -> str:
+FILE_ROWS = 1_000_000  # rows of an arriving write that go to a file
+
+
+def arriving(rows: DataFrame, label: str, parts: int, time: str | None = None) -> tuple[str, int]:
     """A folder that receives ``rows`` in several writes, one after another, as a source would send them.
 
     With ``time`` the writes are equal spans of it, in order; without, rows are dealt by a
-    hash, so that older rows come in later writes as well.
+    hash, so that older rows come in later writes as well. Every write has the same number of files,
+    written side by side; a stream that takes that number, which is returned too, sees a write at a time.
     """
-    folder = work_path(rows.sparkSession, label)
+    spark, folder = rows.sparkSession, work_path(rows.sparkSession, label)
     if time is None:
-        part = F.pmod(F.xxhash64(*rows.columns), F.lit(parts))
+        part, many = F.pmod(F.xxhash64(*rows.columns), F.lit(parts)), rows.count()
     else:
         at = F.unix_micros(F.col(time).cast("timestamp"))
-        low, high = rows.agg(F.min(at), F.max(at)).first()
+        low, high, many = rows.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
         low, high = low or 0, high or 0
         part = F.floor((at - low) * parts / (high - low + 1))
+    files = max(1, -(-many // (parts * FILE_ROWS)))
+    written = 0
     for i in range(parts):
-        rows.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
-    return folder
+        mine = rows.filter(part == i)
+        (mine.repartition(files) if files > 1 else mine.coalesce(1)).write.mode("append").parquet(folder)
+        # a task without rows leaves no file: an empty one makes up for it
+        for _ in range(written + files - _files(spark, folder)):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(folder)
+        written += files
+    return folder, files
+
+
+def _files(spark: SparkSession, folder: str) -> int:
+    """Data files in a folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    return sum(not f.getPath().getName().startswith(("_", ".")) for f in listed)
 
 
 def upsert_stream(
