@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from wattlens.llm import repeats
+from wattlens.llm.queries import LLM_QUERIES
 
 
 def naive(texts, length):
@@ -84,3 +85,19 @@ def test_groups_repeat_each_other(spark):
     for r in found:
         covered[r["doc"]][r["start"] : r["end"]] = True
     assert [int(covered[i].sum()) for i in range(len(texts))] == [w[1] for w in naive(texts, 20)]
+
+
+def test_query_shows_what_is_left_of_planted_passages(spark, tmp_path):
+    rng = random.Random(8)
+    words = lambda n, k: " ".join("".join(rng.choices("abcdefgh", k=k)) for _ in range(n))
+    passage, short = words(60, 7), words(55, 5)  # 479 bytes, and 329: too few for a repeat
+    a, b, c, d, clean = (words(30, 7) for _ in range(5))
+    texts = [f"{a}1{passage}2{b}", f"{c}3{passage}é{d}", f"{passage}è", f"{short} {a}", f"{short} {b}", clean, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r for r in LLM_QUERIES["op10_repeats"](spark, str(tmp_path)).collect()}
+    # é and è share their first byte, which goes; a byte that is no character alone is not in the text
+    assert [found[i]["text"] for i in range(8)] == [f"{a}12{b}", f"{c}3{d}", "", *texts[3:7], ""]
+    digests = [tuple(found[i][n] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in range(8)]
+    assert digests == naive(texts, 400)
+    assert [w[1] for w in digests] == [479, 480, 480, 0, 0, 0, 0, 0]
